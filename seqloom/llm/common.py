@@ -62,3 +62,26 @@ def as_text(col: str = "text"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unique_ids(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose doc_id identifies them, and how to get back.
+
+    Where doc_ids are unique and not null, `docs` itself and None.  Otherwise doc_id is replaced by
+    the row's number in the order (doc_id, nulls first; then the other columns), and the second
+    DataFrame gives the old doc_id of each number (doc_id, old_id).
+    """
+    docs = docs.select("doc_id", *columns)
+    odd = docs.select("doc_id").groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
+    if not odd:
+        return docs, None
+    order = ["doc_id", *[F.xxhash64(c) for c in columns]]
+    rows = Stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.read().groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()  # one row a partition
+    ahead, before = {}, 0
+    for r in sorted(sizes):
+        ahead[r.part], before = before, before + r.n
+    starts = docs.sparkSession.createDataFrame(list(ahead.items()), "part long, ahead long")
+    numbered = rows.read().withColumn("part", part).join(F.broadcast(starts), "part").withColumn("number", F.col("ahead") + place)
+    return numbered.select(F.col("number").alias("doc_id"), *columns), numbered.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("old_id"))
