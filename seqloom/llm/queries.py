@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, packing, sharding, suffixes
+from . import fingerprints, jaccard, multi_index, packing, sharding, suffixes
 from .common import table
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents"))
 
