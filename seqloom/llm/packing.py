@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +15,22 @@ from pyspark.sql import functions as F
 from .common import Stored, as_text, tune
 
 CAPACITY = 4096
-#: Words whose ids a worker keeps; beyond it the cache starts anew, which bounds memory only.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps (about 200 bytes each); beyond it the cache starts anew.
+CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Texts of these characters only: lower-casing and composition leave them alone or act letter by letter.
+PLAIN = re.compile("[ -&(-;=-~\n\t\rÀ-ÖØ-öø-ÿ]*")
+#: Their runs of letters, and of anything else but blanks.
+RUNS = re.compile("[a-zß-öø-ÿ]+|[!-`{-~]+")
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
-    The vocabulary's own pre-tokenizer never joins characters across a blank, so a text's ids are
-    those of its blank-separated words in order; every distinct word is encoded once by the library.
+    The vocabulary's own pre-tokenizer never joins characters across a blank, nor letters with other
+    characters unless an apostrophe is among them.  So a text's ids are those of its blank-separated
+    words in order, or in plain texts of its runs of letters and of other characters; every distinct
+    one is encoded once by the library.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -31,17 +39,30 @@ class WordTokenizer:
         self.model, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.translate({9: " ", 10: " ", 13: " "}).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
+        if PLAIN.fullmatch(text):
+            words = RUNS.findall(text.lower())
+        else:
+            words = [w for w in re.split("[ \n\t\r]+", text) if w]
         if new := set(words).difference(self.cache):
             if len(self.cache) + len(new) > self.most:
                 self.cache = {}
                 new = set(words)
             new = list(new)
             for word, got in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-                self.cache[word] = np.array(got.ids, np.uint32).tobytes()
+                self.cache[word] = array("I", got.ids).tobytes()
         return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), np.uint32)
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The worker's own tokenizer; its cache serves the worker's later tasks too."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Cut each document's ids plus `end_id` into pieces of at most `capacity` tokens.
 
@@ -62,7 +83,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, ca
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordTokenizer(vocabulary)
+        words = word_tokenizer(vocabulary)
         for batch in batches:
             out = [[] for _ in fields]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
