@@ -15,6 +15,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,25 @@ from pyspark.sql import functions as F
 from .common import as_text, tune
 
 #: Labelled rows of either class that are learnt from at most, and bytes of each such text.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16_384
-#: Bytes of a window, of a dictionary, and of the strings that are contrasted.
-WINDOW, DICTIONARY, GRAM = 256, 8192, 5
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 8192
+FOLDS = 3
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How texts are cut and dictionaries are chosen."""
+
+    lower: bool  # ignore the case of A-Z
+    window: int  # bytes
+    gram: int  # bytes of the strings that are contrasted
+    least: int  # texts that a string must stand in
+    sigmas: float  # standard errors between its shares of the two classes
+    times: float  # ratio of the shares
+    dictionary: int = 16_384  # bytes
+
+
+TOXICITY = Settings(lower=True, window=256, gram=4, least=4, sigmas=4.0, times=4.0)
+QUALITY = Settings(lower=False, window=512, gram=5, least=4, sigmas=3.5, times=8.0)
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -42,25 +60,36 @@ def _grams(data: bytes, n: int) -> np.ndarray:
     return np.ndarray((max(0, len(data) - n + 1),), "<u8", raw, strides=(1,)) & np.uint64((1 << (8 * n)) - 1)
 
 
-def _frequencies(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.unique(np.concatenate([np.unique(_grams(t, n)) for t in texts]), return_counts=True)
+def _frequencies(texts: list[bytes], n: int, step: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of n bytes and the number of texts that hold each; merged in steps, which bounds memory."""
+    out = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for k in range(0, len(texts), step):
+        out = _merge([out, np.unique(np.concatenate([np.unique(_grams(t, n)) for t in texts[k : k + step]]), return_counts=True)])
+    return out
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies of several sets of texts together."""
+    values = np.concatenate([u for u, _ in parts] + [np.zeros(0, np.uint64)])
+    both, back = np.unique(values, return_inverse=True)
+    return both, np.bincount(back, np.concatenate([c for _, c in parts] + [np.zeros(0)]), len(both)).astype(np.int64)
 
 
-def contrast(own: list[bytes], other: list[bytes], n: int = GRAM, least: int = 8, sigmas: float = 5.0, times: float = 5.0) -> np.ndarray:
-    """Strings of n bytes that stand in more of `own` than of `other`: significantly, and several times as many."""
-    u, c = _frequencies(own, n)
-    v, d = _frequencies(other, n)
+def contrast(own: tuple, texts: int, other: tuple, others: int, how: Settings) -> np.ndarray:
+    """Strings that stand in more of `own` than of `other`: significantly, and several times as many.
+
+    Both are strings with the number of texts that hold them, of so many texts.
+    """
+    (u, c), (v, d) = own, other
     at = np.searchsorted(v, u)
     at[at == len(v)] = 0
     there = np.where(v[at] == u, d[at], 0) if len(v) else np.zeros(len(u))
-    p, q = c / max(1, len(own)), there / max(1, len(other))
-    spread = np.sqrt(p * (1 - p) / max(1, len(own)) + q * (1 - q) / max(1, len(other)) + 1e-12)
-    return u[(c >= least) & (p - q > sigmas * spread) & (p > times * (q + 0.5 / max(1, len(other))))]
+    p, q = c / max(1, texts), there / max(1, others)
+    spread = np.sqrt(p * (1 - p) / max(1, texts) + q * (1 - q) / max(1, others) + 1e-12)
+    return u[(c >= how.least) & (p - q > how.sigmas * spread) & (p > how.times * (q + 0.5 / max(1, others)))]
 
 
-def class_dictionary(texts: list[bytes], grams: np.ndarray, n: int = GRAM, size: int = DICTIONARY, longest: int = 24) -> bytes:
+def class_dictionary(texts: list[bytes], grams: np.ndarray, n: int, size: int, longest: int = 24) -> bytes:
     """The stretches covered by `grams`, by the number of texts that hold them; the most frequent stands last."""
     counts: Counter[bytes] = Counter()
     for t in texts if len(grams) else []:
@@ -114,11 +143,13 @@ class Sizes:
             a.append(len(first(part)))
             b.append(len(second(part)))
         gain = [y - x for x, y in zip(a, b)]
-        total, n = sum(a) + sum(b), len(a)
+        total, n, net = sum(a) + sum(b), len(a), sum(b) - sum(a)
         plus, minus = sum(g for g in gain if g > 2), sum(-g for g in gain if g < -2)
+        some, many = sum(g > 4 for g in gain), sum(g > 8 for g in gain)
         return [
-            (sum(b) - sum(a)) / total, plus / (n + 1), minus / (n + 1), np.log1p(max(0, max(gain))), np.log1p(max(0, -min(gain))),
-            sum(map(min, a, b)) / (len(data) + 16), np.log1p(plus), np.log1p(minus),
+            net / total, net / (n + 2), plus / (n + 1), minus / (n + 1), some / (n + 1), many / (n + 1),
+            log1p(max(0, max(gain))), log1p(max(0, -min(gain))), log1p(plus), log1p(minus), log1p(many),
+            sum(map(min, a, b)) / (len(data) + 16), log1p(n), log1p(len(data)),
         ]
 
 
@@ -149,30 +180,42 @@ class Calibration:
 
 
 class CompressionClassifier:
-    """Learnt from labelled texts; scores any text from 0 to 1 (label 1 likelier)."""
-
-    def __init__(self, texts: list[bytes], labels: list[int], lower: bool, window: int = WINDOW):
-        self.lower, self.window, self.dictionaries, self.calibration = lower, window, (b"", b""), None
-        # a text and its copies are all on one side, so calibration sees none that a dictionary holds
-        kept = [zlib.crc32(t) % 2 == 0 for t in texts]
-        ones = [t for t, y, k in zip(texts, labels, kept) if y and k]
-        zeros = [t for t, y, k in zip(texts, labels, kept) if not y and k]
-        rest = [(t, y) for t, y, k in zip(texts, labels, kept) if not k]
-        if not ones or not zeros or len({y for _, y in rest}) < 2:
-            return
-        self.dictionaries = self._dictionaries(ones, zeros)
-        sizes = Sizes(*self.dictionaries, window)
-        self.calibration = Calibration(np.array([sizes.features(t) for t, _ in rest]), np.array([y for _, y in rest], float))
+    """Learnt from labelled texts; scores any text from 0 to 1 (label 1 likelier).
 
-    @staticmethod
-    def _dictionaries(ones: list[bytes], zeros: list[bytes]) -> tuple[bytes, bytes]:
-        return class_dictionary(ones, contrast(ones, zeros)), class_dictionary(zeros, contrast(zeros, ones))
+    Calibration sees each text through dictionaries made without it: texts fall into FOLDS folds by
+    their own checksum, so copies stay together, and each fold is measured with the dictionaries of
+    the others.  Those that score are made from all.
+    """
+
+    def __init__(self, texts: list[bytes], labels: list[int], how: Settings):
+        self.how, self.dictionaries, self.calibration = how, (b"", b""), None
+        fold = [zlib.crc32(t) % FOLDS for t in texts]
+        held = [[[t for t, y, f in zip(texts, labels, fold) if (y, f) == (k, i)] for i in range(FOLDS)] for k in (1, 0)]
+        if min(len(set(labels)), *(sum(map(bool, side)) for side in held)) < 2:
+            return
+        counts = [[_frequencies(part, how.gram) for part in side] for side in held]
+        rows, found = [], []
+        for i in range(FOLDS):
+            sizes = Sizes(*self._dictionaries(held, counts, [j for j in range(FOLDS) if j != i]), how.window)
+            for side, y in zip(held, (1, 0)):
+                rows += [sizes.features(t) for t in side[i]]
+                found += [y] * len(side[i])
+        self.dictionaries = self._dictionaries(held, counts, list(range(FOLDS)))
+        self.calibration = Calibration(np.array(rows), np.array(found, float))
+
+    def _dictionaries(self, held: list, counts: list, folds: list[int]) -> tuple[bytes, bytes]:
+        sides = [[t for i in folds for t in side[i]] for side in held]
+        seen = [_merge([side[i] for i in folds]) for side in counts]
+        return tuple(
+            class_dictionary(sides[k], contrast(seen[k], len(sides[k]), seen[1 - k], len(sides[1 - k]), self.how), self.how.gram, self.how.dictionary) for k in (0, 1)
+        )
 
     def scorer(self):
+        """Scores of a list of texts."""
         if self.calibration is None:
-            return lambda data: 0.5
-        sizes = Sizes(*self.dictionaries, self.window)
-        return lambda data: float(self.calibration.score(np.array([sizes.features(data)]))[0])
+            return lambda texts: np.full(len(texts), 0.5)
+        sizes = Sizes(*self.dictionaries, self.how.window)
+        return lambda texts: self.calibration.score(np.array([sizes.features(t) for t in texts])) if texts else np.zeros(0)
 
 
 def held_out(doc_id="doc_id"):
@@ -180,7 +223,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, lower: bool, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> CompressionClassifier:
+def learn(docs: DataFrame, labels: DataFrame, label: str, how: Settings, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> CompressionClassifier:
     """Fit on at most `rows` rows of either label, chosen by a hash of doc_id, none of them held out."""
     picked = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -192,8 +235,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, lower: bool, rows: int
     text = F.substring(as_text().cast("binary"), 1, size)
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("data")).join(F.broadcast(chosen), "doc_id").collect()
     got = sorted(((r.doc_id, bytes(r.data), r.y) for r in got))
-    data = [d.translate(_LOWER) if lower else d for _, d, _ in got]
-    return CompressionClassifier(data, [y for _, _, y in got], lower)
+    data = [d.translate(_LOWER) if how.lower else d for _, d, _ in got]
+    return CompressionClassifier(data, [y for _, _, y in got], how)
 
 
 def classify(docs: DataFrame, model: CompressionClassifier, threshold: float, columns: list[str] | None = None) -> DataFrame:
@@ -206,13 +249,13 @@ def classify(docs: DataFrame, model: CompressionClassifier, threshold: float, co
     tune(docs.sparkSession)
     keep = columns or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), as_text().alias("_scored"), *keep)
-    schema = rows.drop("_scored").schema.add("score", "double").add("predicted", "int")
-    lower = model.lower
+    schema = rows.drop("_scored").schema.add("score", "double").add("predicted", "integer")
+    lower = model.how.lower
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            got = np.array([score(fold(t.as_py(), lower)) for t in batch.column(2)], np.float64)
+            got = score([fold(t.as_py(), lower) for t in batch.column(2)])
             cols = [c for i, c in enumerate(batch.columns) if i != 2] + [pa.array(got), pa.array((got >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
@@ -225,9 +268,9 @@ TOXIC, GOOD = 0.7, 0.5
 
 def toxicity(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Likelihood that a text is toxic; case is ignored."""
-    return classify(docs, learn(docs, labels, "toxic", lower=True), TOXIC, columns)
+    return classify(docs, learn(docs, labels, "toxic", TOXICITY), TOXIC, columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Likelihood that a text is of good quality."""
-    return classify(docs, learn(docs, labels, "quality", lower=False), GOOD, columns)
+    return classify(docs, learn(docs, labels, "quality", QUALITY), GOOD, columns)

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, multi_index, packing, sharding, suffixes
+from . import compression, fingerprints, jaccard, multi_index, packing, sharding, suffixes
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_groups(table(spark, sf_dir, "embeddings"))
 
