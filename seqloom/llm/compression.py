@@ -37,15 +37,15 @@ class Settings:
 
     lower: bool  # ignore the case of A-Z
     window: int  # bytes
-    gram: int  # bytes of the strings that are contrasted
+    grams: tuple[int, ...]  # bytes of the strings that are contrasted, 8 at most
     least: int  # texts that a string must stand in
     sigmas: float  # standard errors between its shares of the two classes
     times: float  # ratio of the shares
     dictionary: int = 16_384  # bytes
 
 
-TOXICITY = Settings(lower=True, window=256, gram=4, least=4, sigmas=4.0, times=4.0)
-QUALITY = Settings(lower=False, window=512, gram=5, least=4, sigmas=3.5, times=8.0)
+TOXICITY = Settings(lower=True, window=256, grams=(4,), least=4, sigmas=4.0, times=4.0)
+QUALITY = Settings(lower=False, window=512, grams=(5,), least=4, sigmas=3.5, times=8.0)
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -89,17 +89,22 @@ def contrast(own: tuple, texts: int, other: tuple, others: int, how: Settings) -
     return u[(c >= how.least) & (p - q > how.sigmas * spread) & (p > how.times * (q + 0.5 / max(1, others)))]
 
 
-def class_dictionary(texts: list[bytes], grams: np.ndarray, n: int, size: int, longest: int = 24) -> bytes:
-    """The stretches covered by `grams`, by the number of texts that hold them; the most frequent stands last."""
+def class_dictionary(texts: list[bytes], telling: dict[int, np.ndarray], size: int, longest: int = 24) -> bytes:
+    """The stretches covered by telling strings, by the number of texts that hold them; the most frequent stands last."""
     counts: Counter[bytes] = Counter()
-    for t in texts if len(grams) else []:
-        g = _grams(t, n)
-        at = np.searchsorted(grams, g)
-        at[at == len(grams)] = 0
-        hit = np.nonzero(grams[at] == g)[0]
+    telling = {n: g for n, g in telling.items() if len(g)}
+    for t in texts if telling else []:
+        edge = np.zeros(len(t) + 1, np.int32)
+        for n, grams in telling.items():
+            g = _grams(t, n)
+            at = np.searchsorted(grams, g)
+            at[at == len(grams)] = 0
+            hit = np.nonzero(grams[at] == g)[0]
+            edge += np.bincount(hit, minlength=len(t) + 1) - np.bincount(hit + n, minlength=len(t) + 1)
+        turn = np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8))
         found = set()
-        for run in np.split(hit, np.nonzero(np.diff(hit) > 1)[0] + 1) if len(hit) else []:
-            s = t[run[0] : run[-1] + n]
+        for begin, end in zip(np.nonzero(turn == 1)[0].tolist(), np.nonzero(turn == -1)[0].tolist()):
+            s = t[begin:end]
             # a word cut off by the run's ends is no part of the stretch
             if (k := s.rfind(b" ", 0, 4)) > 0:
                 s = s[k:]
@@ -193,7 +198,7 @@ class CompressionClassifier:
         held = [[[t for t, y, f in zip(texts, labels, fold) if (y, f) == (k, i)] for i in range(FOLDS)] for k in (1, 0)]
         if min(len(set(labels)), *(sum(map(bool, side)) for side in held)) < 2:
             return
-        counts = [[_frequencies(part, how.gram) for part in side] for side in held]
+        counts = [[{n: _frequencies(part, n) for n in how.grams} for part in side] for side in held]
         rows, found = [], []
         for i in range(FOLDS):
             sizes = Sizes(*self._dictionaries(held, counts, [j for j in range(FOLDS) if j != i]), how.window)
@@ -205,10 +210,12 @@ class CompressionClassifier:
 
     def _dictionaries(self, held: list, counts: list, folds: list[int]) -> tuple[bytes, bytes]:
         sides = [[t for i in folds for t in side[i]] for side in held]
-        seen = [_merge([side[i] for i in folds]) for side in counts]
-        return tuple(
-            class_dictionary(sides[k], contrast(seen[k], len(sides[k]), seen[1 - k], len(sides[1 - k]), self.how), self.how.gram, self.how.dictionary) for k in (0, 1)
-        )
+        seen = [{n: _merge([side[i][n] for i in folds]) for n in self.how.grams} for side in counts]
+        out = []
+        for k in (0, 1):
+            telling = {n: contrast(seen[k][n], len(sides[k]), seen[1 - k][n], len(sides[1 - k]), self.how) for n in self.how.grams}
+            out.append(class_dictionary(sides[k], telling, self.how.dictionary))
+        return out[0], out[1]
 
     def scorer(self):
         """Scores of a list of texts."""

@@ -9,8 +9,11 @@ A byte goes if it lies in a LENGTH-byte string that also starts in a document wi
    suffix none of whose samples is tied with another can't be tied itself and leaves the array.
 3. The suffixes left are sorted one bucket at a time: a bucket is a range of leading bytes, chosen
    from a histogram so that each holds about the same share.  Each pass sorts its bucket inside every
-   block of text, word by word, and compares the blocks' sorted, distinct strings by a 96-bit digest,
-   range by range.  Shuffle files of a pass go before the next begins, which bounds disk as well.
+   block of text: word by word for the first V bytes and on, except that a long tie whose members have
+   a shift in common is settled at once by the ranks of the cover samples there, which were computed
+   once for the block (for two suffixes there always is one).  The blocks' sorted, distinct strings
+   are then compared by a 96-bit digest, range by range.  Shuffle files of a pass go before the next
+   begins, which bounds disk as well as memory.
 4. Flags return to the blocks as bit masks in sort order, and become runs of removed bytes.
 """
 
@@ -31,8 +34,7 @@ V = 31
 #: A perfect difference set modulo 31.
 COVER = (0, 1, 3, 8, 12, 18)
 #: Bytes of text in a block, and passes over the suffix buckets.
-BLOCK_BYTES, PASSES = 4 << 20, 4
-GRAM = LENGTH - V + 1
+BLOCK_BYTES, PASSES = 4 << 20, 5
 
 U = np.uint64
 
@@ -49,15 +51,28 @@ def _words(data: np.ndarray, kind: str) -> np.ndarray:
     return np.ndarray((len(data) - size + 1,), kind, data, strides=(1,))
 
 
-def _digest(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """64-bit hashes of the strings of `length` bytes that start at `at`."""
-    eight, h, k = _words(data, "<u8"), np.full(len(at), U(seed)), 0
-    while k + 8 <= length:
-        h = _mix(h * U(0x9E3779B97F4A7C15) + eight[at + k])
-        k += 8
-    if k < length:  # the last word overlaps the one before
-        h = _mix(h * U(0x9E3779B97F4A7C15) + eight[at + (length - 8)])
-    return h
+_ODD = np.random.default_rng(50).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | U(1)
+
+
+def _digests(data: np.ndarray, at: np.ndarray, length: int, lanes: int) -> list[np.ndarray]:
+    """Independent 64-bit hashes of the strings of `length` (8 at least) bytes that start at `at`."""
+    eight, out = _words(data, "<u8"), [np.zeros(len(at), U) for _ in range(lanes)]
+    for i, k in enumerate([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]):
+        x = eight[at + k]
+        x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+        x ^= x >> U(29)
+        for lane, h in enumerate(out):
+            h += x * _ODD[lane, i]
+    return [_mix(h) for h in out]
+
+
+def _group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and where a new key begins in it."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return order, new
 
 
 class Block:
@@ -68,11 +83,13 @@ class Block:
         self.data = np.frombuffer(data + bytes(64), np.uint8)
         self.ends = np.cumsum(lens)
         self.starts = self.ends - lens
-        self.n = int(self.ends[-1]) if len(lens) else 0
+        self.n, self._of = int(self.ends[-1]) if len(lens) else 0, None
 
     def of(self, at: np.ndarray) -> np.ndarray:
         """Number, in the block, of the document at each position."""
-        return np.searchsorted(self.ends, at, side="right")
+        if self._of is None:
+            self._of = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
+        return self._of[at]
 
 
 def cover_samples(block: Block, length: int, v: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,41 +97,106 @@ def cover_samples(block: Block, length: int, v: int, cover: tuple[int, ...]) ->
     gram = length - v + 1
     own = [s + np.arange(d, n - gram + 1, v) for s, n in zip(block.starts.tolist(), block.lens.tolist()) for d in cover if n >= length]
     at = np.concatenate(own) if own else np.zeros(0, np.int64)
-    return at, _digest(block.data, at, gram, 1)
+    return at, _digests(block.data, at, gram, 1)[0]
+
+
+class CoverRanks:
+    """Ranks of a block's cover samples among themselves, by the LENGTH bytes from each on."""
 
+    def __init__(self, v: int, cover: tuple[int, ...], ranks: np.ndarray):
+        self.v, self.ranks, self.size = v, ranks, len(cover)
+        self.slot = np.full(v, -1)
+        self.slot[list(cover)] = np.arange(len(cover))
+        #: by position modulo v: bit d is set if the position d further on is a sample
+        self.shifts = np.array([sum(1 << d for d in range(v) if (r + d) % v in cover) for r in range(v)], np.int64)
 
-def sorted_strings(block: Block, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort one bucket of suffixes by their first `length` bytes: the order, and where a new string begins.
+    @staticmethod
+    def places(n: int, v: int, cover: tuple[int, ...]) -> np.ndarray:
+        at = (np.arange(0, n + v, v)[:, None] + np.array(sorted(cover))).ravel()
+        return at[at < n]
 
-    Most-significant word first; only runs still tied are sorted on by the next word.
+    @classmethod
+    def of(cls, block: Block, length: int, v: int, cover: tuple[int, ...]) -> CoverRanks:
+        at = cls.places(block.n, v, cover)
+        order, new = sorted_strings(block, at, length)
+        ranks = np.zeros(len(at), np.uint32)
+        ranks[order] = np.cumsum(new) - 1
+        return cls(v, cover, ranks)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        return self.ranks[at // self.v * self.size + self.slot[at % self.v]].astype(U)
+
+
+def sorted_strings(block: Block, at: np.ndarray, length: int, ranks: CoverRanks | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sort one bucket of suffixes: the order, and where a new string of `length` bytes begins.
+
+    Most-significant word first; only runs still tied are sorted on by the next word.  Ties longer
+    than the cover's period are settled by ranks wherever all members of a run have a shift in common
+    to samples; those are then in order for good, and only compared with their neighbours.
     """
     big = _words(block.data, ">u8")
-    order = np.argsort(big[at].astype(U), kind="stable")
-    key = big[at[order]].astype(U)
-    new = np.ones(len(at), bool)
-    new[1:] = key[1:] != key[:-1]
+    order, new = _group(big[at].astype(U))
     k = 8
     while k < length:
-        group = np.cumsum(new)
         tied = ~new
         tied[:-1] |= ~new[1:]
         here = np.nonzero(tied)[0]
         if not len(here):
             break
-        word = big[at[order[here]] + k].astype(U)
-        if k + 8 > length:
-            word = word >> U(8 * (k + 8 - length))
-        # runs keep their places: sort by (run, word) among the tied places only
-        by = np.lexsort((word, group[here]))
-        order[here] = order[here][by]
-        word, run = word[by], group[here]
-        fresh = np.ones(len(here), bool)
-        fresh[1:] = (word[1:] != word[:-1]) | (run[1:] != run[:-1])
-        new[here] = fresh
+        begins = new[here]
+        run = np.cumsum(begins) - 1
+        place = at[order[here]]
+        if ranks is not None and k >= ranks.v:
+            first = np.nonzero(begins)[0]
+            shared = np.bitwise_and.reduceat(ranks.shifts[place % ranks.v], first)
+            settled = (shared != 0)[run]
+            if settled.any():
+                who, low = here[settled], shared[run[settled]]
+                shift = np.log2((low & -low).astype(np.float64)).astype(np.int64)
+                by = np.argsort((run[settled].astype(U) << U(32)) | ranks.rank(place[settled] + shift))
+                order[who] = order[who][by]
+                head = new[who]
+                there = at[order[who]]
+                differs = head.copy()
+                for j in [*range(k, length - 7, 8), length - 8]:
+                    w = big[there + j]
+                    differs[1:] |= w[1:] != w[:-1]
+                new[who] = differs
+                here, run, place = here[~settled], run[~settled], place[~settled]
+                if not len(here):
+                    break
+            ranks = None  # what is left is read on
+            rest, rest_new = here, new[here]
+            while k < length and len(rest):
+                rest, rest_new = _read_on(big, at, order, new, rest, k, length)
+                k += 8
+            break
+        _read_on(big, at, order, new, here, k, length)
         k += 8
     return order, new
 
 
+def _read_on(big, at, order, new, here, k: int, length: int):
+    """Sort the runs at places `here` by their word at k; returns the places that are still tied."""
+    word = big[at[order[here]] + k].astype(U)
+    if k + 8 > length:
+        word = word >> U(8 * (k + 8 - length))
+    begins = new[here]
+    run = (np.cumsum(begins) - 1).astype(U)
+    by, fresh = _group(word)
+    rank = np.empty(len(word), U)
+    rank[by] = np.cumsum(fresh) - 1
+    by = np.argsort((run << U(32)) | rank)
+    order[here] = order[here][by]
+    word = word[by]
+    fresh = begins.copy()
+    fresh[1:] |= word[1:] != word[:-1]
+    new[here] = fresh
+    tied = ~fresh
+    tied[:-1] |= ~fresh[1:]
+    return here[tied], fresh[tied]
+
+
 def _pack(x: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each number, plane by plane."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
@@ -174,19 +256,21 @@ MASK_DDL = "block long, bucket int, mask binary"
 
 def _by_bucket(order: np.ndarray, bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
     """order split by bucket; the order within a bucket stays."""
-    by = order[np.argsort(bucket[order], kind="stable")]
+    narrow = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket  # 16 bits are sorted by counting
+    by = order[np.argsort(narrow[order], kind="stable")]
     return np.split(by, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
 
 
 def _distinct_samples(block: Block, length: int, v: int, cover: tuple[int, ...]):
     """Samples and their hashes; the distinct hashes in order; whether several documents have each."""
     at, h = cover_samples(block, length, v, cover)
-    values, first, back = np.unique(h, return_index=True, return_inverse=True)
-    doc = block.of(at)
-    low, high = np.full(len(values), len(block.docs)), np.full(len(values), -1)
-    np.minimum.at(low, back, doc)
-    np.maximum.at(high, back, doc)
-    return at, back, values, low != high
+    order, new = _group(h)
+    first = np.nonzero(new)[0]
+    doc = block.of(at)[order]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+    return at, back, h[order[first]], several
 
 
 def _send_samples(buckets: int, length: int, v: int, cover: tuple[int, ...]):
@@ -209,13 +293,10 @@ def _tied_samples(table: pa.Table) -> pa.Table:
     """Of one bucket: which hashes are also in another block."""
     ns, blobs = table["n"].to_pylist(), table["keys"].to_pylist()
     keys = np.concatenate([_unpack(b, n, 6) for b, n in zip(blobs, ns)])
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    same = s[1:] == s[:-1]
-    tied = np.zeros(len(s), bool)
-    tied[1:] |= same
-    tied[:-1] |= same
-    flag = np.zeros(len(s), bool)
+    order, new = _group(keys)
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    flag = np.zeros(len(keys), bool)
     flag[order] = tied
     return _masks(table, ns, flag)
 
@@ -225,7 +306,7 @@ def _masks(table: pa.Table, ns: list[int], flag: np.ndarray) -> pa.Table:
     return pa.table([table["block"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(masks, pa.binary())], schema=MASK)
 
 
-REGIONS_DDL = "block long, docs binary, lens binary, data binary, region_doc binary, region_start binary, leads binary"
+REGIONS_DDL = "block long, docs binary, lens binary, data binary, region_doc binary, region_start binary, leads binary, ranks binary"
 REGIONS = pa.schema([(n.split()[0], pa.int64() if n.endswith("long") else pa.binary()) for n in REGIONS_DDL.split(", ")])
 
 
@@ -268,6 +349,7 @@ def _cut_regions(buckets: int, length: int, v: int, cover: tuple[int, ...]):
             [
                 pa.array([blocks["block"][0].as_py()]), pa.array([block.docs[keep].astype("<i8").tobytes()]), pa.array([region.lens.astype("<i8").tobytes()]),
                 pa.array([text], pa.binary()), pa.array([np.searchsorted(keep, doc).astype("<i4").tobytes()]), pa.array([start.astype("<i8").tobytes()]), pa.array([leads.astype("<i8").tobytes()]),
+                pa.array([CoverRanks.of(region, length, v, cover).ranks.tobytes()]),
             ],
             schema=REGIONS,
         )
@@ -285,7 +367,7 @@ def _suffixes(region: Block, length: int) -> np.ndarray:
     return np.nonzero(ok)[0]
 
 
-def _bucket_strings(row: dict, low: int, high: int, length: int):
+def _bucket_strings(row: dict, low: int, high: int, length: int, v: int, cover: tuple[int, ...]):
     """One suffix bucket of a block: sorted distinct strings, the smallest document of each, all places.
 
     Returns places in sort order, the string number of each, each string's first place, document
@@ -295,7 +377,7 @@ def _bucket_strings(row: dict, low: int, high: int, length: int):
     at = _suffixes(region, length)
     lead = _words(region.data, ">u2")[at] >> 4
     at = at[(lead >= low) & (lead < high)]
-    order, new = sorted_strings(region, at, length)
+    order, new = sorted_strings(region, at, length, CoverRanks(v, cover, np.frombuffer(row["ranks"], np.uint32)))
     at = at[order]
     doc = region.docs[region.of(at)]
     ids = np.frombuffer(row["docs"], "<i8")[doc]
@@ -305,13 +387,13 @@ def _bucket_strings(row: dict, low: int, high: int, length: int):
     return region, at, number, at[first], ids, least
 
 
-def _send_strings(buckets: int, low: int, high: int, length: int):
+def _send_strings(buckets: int, low: int, high: int, length: int, v: int, cover: tuple[int, ...]):
     def run(batches):
         for row in _rows(batches):
-            region, at, number, first, ids, least = _bucket_strings(row, low, high, length)
+            region, at, number, first, ids, least = _bucket_strings(row, low, high, length, v, cover)
             if not len(first):
                 continue
-            a, b = _digest(region.data, first, length, 2), _digest(region.data, first, length, 3)
+            a, b = _digests(region.data, first, length, 2)
             bucket = (a % U(buckets)).astype(np.int64)
             names = np.frombuffer(row["docs"], "<i8")
             rank = np.searchsorted(names[np.argsort(names)], least).astype("<u4")
@@ -335,10 +417,11 @@ def _tied_strings(table: pa.Table) -> pa.Table:
         b.append(_unpack(blob[8 * n : 12 * n], n, 4))
         ids.append(np.frombuffer(docs, "<i8")[_unpack(blob[12 * n :], n, 4).astype(np.int64)])
     a, b, ids = np.concatenate(a), np.concatenate(b), np.concatenate(ids)
-    order = np.lexsort((b, a))
-    sa, sb = a[order], b[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
+    order, new = _group(a)
+    other = b[order]
+    if (~new[1:] & (other[1:] != other[:-1])).any():  # 64 bits agree and 32 more don't
+        order = np.lexsort((b, a))
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     least = np.minimum.reduceat(ids[order], np.nonzero(new)[0])[np.cumsum(new) - 1]
     flag = np.zeros(len(order), bool)
     flag[order] = least < ids[order]
@@ -349,7 +432,7 @@ SPANS = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int64())), ("e
 SPANS_DDL = "doc_id long, starts array<long>, ends array<long>"
 
 
-def _find_spans(buckets: int, bounds: list[int], length: int):
+def _find_spans(buckets: int, bounds: list[int], length: int, v: int, cover: tuple[int, ...]):
     def run(key, regions: pa.Table, masks: pa.Table) -> pa.Table:
         if not regions.num_rows:
             return SPANS.empty_table()
@@ -357,11 +440,11 @@ def _find_spans(buckets: int, bounds: list[int], length: int):
         got = {(p, b): m for p, b, m in zip(masks["pass"].to_pylist(), masks["bucket"].to_pylist(), masks["mask"].to_pylist())}
         hit, region = [], None
         for p, (low, high) in enumerate(zip(bounds, bounds[1:])):
-            region, at, number, first, ids, least = _bucket_strings(row, low, high, length)
+            region, at, number, first, ids, least = _bucket_strings(row, low, high, length, v, cover)
             if not len(first):
                 continue
             elsewhere = np.zeros(len(first), bool)
-            bucket = (_digest(region.data, first, length, 2) % U(buckets)).astype(np.int64)
+            bucket = (_digests(region.data, first, length, 1)[0] % U(buckets)).astype(np.int64)
             for k, own in enumerate(_by_bucket(np.arange(len(first)), bucket, buckets)):
                 if (mask := got.get((p, k))) is not None:
                     elsewhere[own] = np.unpackbits(np.frombuffer(mask, np.uint8))[: len(own)].astype(bool)
@@ -423,14 +506,14 @@ def removed_spans(texts: DataFrame, length: int = LENGTH, v: int = V, cover: tup
     buckets = max(4, -(-int(counts.sum()) // (1_000_000 * (len(bounds) - 1))))
     found = []
     for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        sent = regions.read().mapInArrow(_send_strings(buckets, low, high, length), SENT_DDL)
+        sent = regions.read().mapInArrow(_send_strings(buckets, low, high, length, v, cover), SENT_DDL)
         tied = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_tied_strings, MASK_DDL)
         found.append(Stored(tied.withColumn("pass", F.lit(k)), "suffix-strings"))
         release(spark)
     masks = found[0].read()
     for x in found[1:]:
         masks = masks.unionByName(x.read())
-    spans = Stored(regions.read().groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(_find_spans(buckets, bounds, length), SPANS_DDL), "suffix-spans")
+    spans = Stored(regions.read().groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(_find_spans(buckets, bounds, length, v, cover), SPANS_DDL), "suffix-spans")
     for x in (regions, *found):
         x.drop()
     release(spark)
