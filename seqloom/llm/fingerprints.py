@@ -15,13 +15,14 @@ from .common import as_text, tune
 P = np.uint64((1 << 31) - 1)  # a Mersenne prime: products of two residues fit in 64 bits
 BASES = (np.uint64(1_315_423_911 % ((1 << 31) - 1)), np.uint64(880_301_671))
 #: Code points of the spans whose hashes make the sketch, and the sketch's cells (16 bits each).
-SPAN, CELLS = 16, 128
+SPAN, CELLS = 8, 128
+EMPTY = np.iinfo(np.uint64).max
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
     """x mod P for x < 2**62."""
     x = (x & P) + (x >> np.uint64(31))
-    return np.where(x >= P, x - P, x)
+    return np.minimum(x, x - P)  # below P the difference wraps to a large number
 
 
 class Powers:
@@ -49,14 +50,35 @@ class PrefixHashes:
     """
 
     def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        self.n = len(codes)
+        self.codes = self._codes(text)
+        self.n = len(self.codes)
         POWERS.need(self.n + 1)
-        self.sums = []
-        for k in range(len(BASES)):
-            terms = _mod(codes * POWERS.up[k][: self.n])
-            # residues stay below 2**31, so a running sum of 2**32 of them fits
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), _mod(np.cumsum(terms, dtype=np.uint64))]))
+        self.sums = [self._sums(k, self.codes, 0, np.uint64(0)) for k in range(len(BASES))]
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+
+    @staticmethod
+    def _sums(k: int, codes: np.ndarray, at: int, before: np.uint64) -> np.ndarray:
+        """Prefix sums, from `before` on, of codes that stand from `at` on.
+
+        Residues stay below 2**31, so a running sum of 2**32 of them fits.
+        """
+        out = np.empty(len(codes) + 1, np.uint64)
+        out[0] = before
+        np.cumsum(_mod(codes * POWERS.up[k][at : at + len(codes)]), out=out[1:])
+        out[1:] += before
+        return _mod(out)
+
+    def edited(self, keep: int, tail: str) -> PrefixHashes:
+        """The hashes of the first `keep` code points followed by `tail`; the common part is shared."""
+        out, codes = object.__new__(PrefixHashes), self._codes(tail)
+        out.codes = np.concatenate([self.codes[:keep], codes])
+        out.n = keep + len(codes)
+        POWERS.need(out.n + 1)
+        out.sums = [np.concatenate([s[:keep], self._sums(k, codes, keep, s[keep])]) for k, s in enumerate(self.sums)]
+        return out
 
     def spans(self, starts: np.ndarray, length: int) -> np.ndarray:
         """62-bit hashes of the spans of one length at these starts; equal spans have equal hashes."""
@@ -92,21 +114,34 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def least(hashes: PrefixHashes, begin: int, end: int, width: int, cells: int = CELLS) -> np.ndarray:
+    """By cell, the least scrambled hash of the spans of `width` that start in [begin, end)."""
+    h = np.sort(_scramble(hashes.spans(np.arange(begin, end), width)))
+    shift = np.uint64(64 - (cells - 1).bit_length())
+    cell = np.arange(cells, dtype=np.uint64)
+    at = np.searchsorted(h, cell << shift)
+    h = np.append(h, EMPTY)
+    return np.where((h[at] >> shift == cell) & (at < end - begin), h[at], EMPTY)
+
+
+def finish(low: np.ndarray) -> np.ndarray:
+    """16 bits of each cell; an empty cell takes a full one, chosen by the cell's number alone."""
+    full = np.nonzero(low != EMPTY)[0]
+    if not len(full):
+        return np.zeros(len(low), np.uint16)
+    empty = np.setdiff1d(np.arange(len(low)), full)
+    near = full[(empty * 40503 + 17) % len(full)]
+    out = low.copy()
+    out[empty] = _scramble(low[near] + empty.astype(np.uint64))
+    return (out & np.uint64(0xFFFF)).astype(np.uint16)
+
+
 def sketch(hashes: PrefixHashes, span: int = SPAN, cells: int = CELLS) -> np.ndarray:
     """One-permutation minimum sketch over the hashes of all spans; a shorter text is one span."""
     if not hashes.n:
         return np.zeros(cells, np.uint16)
     width = min(span, hashes.n)
-    h = _scramble(hashes.spans(np.arange(hashes.n - width + 1), width))
-    cell, value = (h % np.uint64(cells)).astype(np.int64), h >> np.uint64(8)
-    least = np.full(cells, np.iinfo(np.uint64).max)
-    np.minimum.at(least, cell, value)
-    full = np.nonzero(least != np.iinfo(np.uint64).max)[0]
-    # an empty cell takes a full one, chosen by the cell's number alone
-    for c in np.setdiff1d(np.arange(cells), full):
-        near = full[(c * 40503 + 17) % len(full)] if len(full) < 8 else full[np.searchsorted(full, c) % len(full)]
-        least[c] = _scramble(np.array([least[near] + np.uint64(c)], np.uint64))[0]
-    return (least & np.uint64(0xFFFF)).astype(np.uint16)
+    return finish(least(hashes, 0, hashes.n - width + 1, width, cells))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -142,16 +177,42 @@ OUT = pa.schema(
 )
 
 
+def _kept(n: int) -> int:
+    """Code points that stay of n: all but the last quarter."""
+    return n - n // 4
+
+
+class _Print:
+    """A text's hashes and sketch; the part that an edit leaves alone is sketched once."""
+
+    def __init__(self, text: str):
+        self.text, self.hashes = text, PrefixHashes(text)
+        n = self.hashes.n
+        self.common = max(0, _kept(n) - SPAN + 1)  # spans within the part that stays
+        if n >= SPAN:
+            self.low = least(self.hashes, 0, self.common, SPAN)
+            self.sketch = finish(np.minimum(self.low, least(self.hashes, self.common, n - SPAN + 1, SPAN)))
+        else:
+            self.sketch = sketch(self.hashes)
+
+    def edit(self, following: str) -> tuple[PrefixHashes, np.ndarray]:
+        n = self.hashes.n
+        keep = _kept(n)
+        mixed = self.hashes.edited(keep, following[: n - keep])
+        if n >= SPAN and mixed.n >= SPAN:
+            return mixed, finish(np.minimum(self.low, least(mixed, self.common, mixed.n - SPAN + 1, SPAN)))
+        return mixed, sketch(mixed)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by part, extras last: each row meets the one that follows it."""
-    held, print_of = None, lambda text: (text, h := PrefixHashes(text), sketch(h))
+    held, print_of = None, _Print
 
-    def row(now, doc, then):
-        text, hashes, own = now
-        edited, mixed, other = print_of(edit(text, then[0]))
+    def row(now: _Print, doc, then: _Print):
+        mixed, other = now.edit(then.text)
         return (
-            doc, hashes.n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u2").tobytes().hex(),
-            other.astype(">u2").tobytes().hex(), likeness(own, other), likeness(own, then[2]), longest_common_extension(hashes, 0, mixed, 0),
+            doc, now.hashes.n, hashlib.sha256(edit(now.text, then.text).encode("utf-8", "surrogatepass")).hexdigest(), now.sketch.astype(">u2").tobytes().hex(),
+            other.astype(">u2").tobytes().hex(), likeness(now.sketch, other), likeness(now.sketch, then.sketch), longest_common_extension(now.hashes, 0, mixed, 0),
         )
 
     for batch in batches:
