@@ -71,6 +71,11 @@ def set_keys(s: np.ndarray, counts: np.ndarray, boundary: int, num: int = NUM, d
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def set_print(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, in two numbers."""
+    return tuple(int(mix(s ^ x).sum(dtype=np.uint64).astype(np.int64)) for x in (U(0), U(0xA5A5A5A5A5A5A5A5)))
+
+
 SIZES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 SIZES_DDL = "doc_id long, n long, fp1 long, fp2 long, chunk int, counts binary"
 CHUNKS = 16
@@ -87,7 +92,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(_texts(batch))
         if sets:
             total += np.bincount((np.concatenate(sets) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        fp = [(int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))) for s in sets]
+        fp = [set_print(s) for s in sets]
         k = len(sets)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in fp], pa.int64()), pa.array([b for _, b in fp], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
@@ -115,6 +120,15 @@ POSTS = pa.schema([("bucket", pa.int32()), ("m", pa.int32()), ("keys", pa.binary
 POSTS_DDL = "bucket int, m int, keys binary, nodes binary, sizes binary, long binary, a long, b long"
 
 
+def _in_order(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by (key, size, node), each once: copies of a set are one node."""
+    order = np.lexsort((node, size, key))
+    key, node, size = key[order], node[order], size[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    return key[once], node[once], size[once]
+
+
 def _chain(key: np.ndarray, size: np.ndarray, node: np.ndarray, num: int, den: int) -> np.ndarray:
     """Of entries in order of (key, size, node): which one reaches the next of its list by size."""
     return (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (size[:-1] * den >= size[1:] * num)
@@ -124,9 +138,7 @@ def _post(sketch, boundary: int, buckets: int, num: int, den: int, flush: int =
     """Keys of every set, by bucket.  A list that is long within a task leaves as its chain and one entry."""
 
     def out(keys, nodes, sizes):
-        key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
-        order = np.lexsort((node, size, key))
-        key, node, size = key[order], node[order], size[order]
+        key, node, size = _in_order(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes))
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         first = np.nonzero(new)[0]
@@ -160,10 +172,10 @@ def _post(sketch, boundary: int, buckets: int, num: int, den: int, flush: int =
         keys, nodes, sizes, held = [], [], [], 0
         for batch in batches:
             counts = sketch.value
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(_texts(batch))):
+            for s in shingle_sets(_texts(batch, 0)):
                 k = set_keys(s, counts[(s & U(SKETCH - 1)).astype(np.int64)], boundary, num, den)
                 keys.append(k)
-                nodes.append(np.full(len(k), doc, np.int64))
+                nodes.append(np.full(len(k), set_print(s)[0], np.int64))
                 sizes.append(np.full(len(k), len(s), np.int64))
                 held += len(k)
             if held >= flush:
@@ -187,8 +199,11 @@ def _candidates(num: int, den: int):
             node = np.frombuffer(b"".join(table["nodes"].to_pylist()), np.int64)
             size = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4").astype(np.int64)
             long = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:m] for x, m in zip(table["long"].to_pylist(), table["m"].to_pylist())]).astype(bool)
-            order = np.lexsort((node, size, key))
-            key, node, size, long = key[order], node[order], size[order], long[order]
+            marked = np.unique(key[long])
+            key, node, size = _in_order(key, node, size)
+            at = np.searchsorted(marked, key)
+            long = at < len(marked)
+            long[long] = marked[at[long]] == key[long]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             first = np.nonzero(new)[0]
@@ -266,10 +281,35 @@ def _verify(num: int, den: int):
     return run
 
 
-def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bits of the filter that spares texts without candidates: 4 MB, whatever the input size.  When it is
+#: too small it lets more texts through, and the join that follows drops them.
+FILTER_BITS = 1 << 25
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return np.stack([mix(ids.astype(np.uint64) ^ U(k)) & U(FILTER_BITS - 1) for k in (1, 2, 3)])
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
     for batch in batches:
-        sets = shingle_sets(_texts(batch, 2))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "component", "shingles"])
+        bits[_bits(batch.column(0).to_numpy()).astype(np.int64).ravel()] = True
+    words = np.packbits(bits, bitorder="little").view("<i8")
+    some = np.nonzero(words)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(words[some])], names=["at", "word"])
+
+
+def _ship(marks):
+    """The sets of documents that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(marks.value.view(np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            near = pa.array(bits[_bits(batch.column(0).to_numpy()).astype(np.int64)].all(0))
+            batch = batch.filter(near)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(_texts(batch))], pa.binary())], names=["doc_id", "shingles"])
+
+    return run
 
 
 def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -299,33 +339,34 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     boundary = choose_boundary({r.n: r.c for r in hist}, list_cost, num=num, den=den)
     total = sum(r.t for r in hist)
 
-    # identical sets are one node
-    first = rows.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    first = Stored(first, "jaccard-reps")
-    nodes = base.join(first.read().select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # identical sets are one node, named by their print while candidates are sought
+    first = Stored(rows.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     buckets = max(4, -(-total // 4_000_000))
     sketch = spark.sparkContext.broadcast(counts)
-    posts = nodes.mapInArrow(_post(sketch, boundary, buckets, num, den), POSTS_DDL)
+    posts = base.select("text").mapInArrow(_post(sketch, boundary, buckets, num, den), POSTS_DDL)
     pairs = Stored(posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_candidates(num, den), EDGE_DDL), "jaccard-pairs")
     release(spark)
-    near = Stored(connected_components(pairs.read()), "jaccard-near")
+    near = connected_components(pairs.read()).withColumnRenamed("node", "fp1").join(first.read(), "fp1")
+    near = Stored(near.select(F.col("rep").alias("doc_id"), "component", "n"), "jaccard-near")
     pairs.drop()
     release(spark)
 
     # every set of a class of candidates is compared with the others; large classes in pairs of blocks
-    sized = near.read().withColumnRenamed("node", "doc_id").join(first.read().select(F.col("rep").alias("doc_id"), "n"), "doc_id")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("blocks")).filter("blocks > 1")
-    shipped = Stored(base.join(near.read().withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "component", "text").mapInArrow(_ship, "doc_id long, component long, shingles binary"), "jaccard-sets")
+    blocks = near.read().groupBy("component").agg(F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("blocks")).filter("blocks > 1")
+    words = near.read().select("doc_id").mapInArrow(_mark, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect()  # FILTER_BITS / 64 at most
+    marks = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words:
+        marks[r["at"]] = r.word
+    shipped = base.mapInArrow(_ship(spark.sparkContext.broadcast(marks)), "doc_id long, shingles binary").join(near.read().select("doc_id", "component"), "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
-        shipped.read().join(blocks, "component", "left")
+        shipped.join(blocks, "component", "left")
         .withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(others))
         .withColumn("task", F.concat_ws(":", "component", F.least("own", "other"), F.greatest("own", "other")))
         .withColumn("grp", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("component"), F.lit(buckets * 4)).cast("string")).otherwise(F.col("task")))
     )
     links = Stored(dealt.select("grp", "task", "doc_id", "shingles").groupBy("grp").applyInArrow(_verify(num, den), EDGE_DDL), "jaccard-links")
-    shipped.drop()
     release(spark)
     classes = connected_components(links.read()).select(F.col("node").alias("rep"), "component")
     named = rows.join(first.read(), ["fp1", "fp2", "n"], "left").join(classes, "rep", "left")
