@@ -246,38 +246,62 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, how: Settings, rows: i
     return CompressionClassifier(data, [y for _, _, y in got], how)
 
 
-def classify(docs: DataFrame, model: CompressionClassifier, threshold: float, columns: list[str] | None = None) -> DataFrame:
+def _scores(model: CompressionClassifier, batch: pa.RecordBatch, score) -> np.ndarray:
+    """Scores of the texts in a batch's last column."""
+    return score([fold(t.as_py(), model.how.lower) for t in batch.column(batch.num_columns - 1)])
+
+
+def classify(docs: DataFrame, model: CompressionClassifier, threshold: float) -> DataFrame:
     """Score every whole text: doc_id, held_out, score, predicted (score >= threshold).
 
     A null or empty text is scored as one empty window; a model without labels of both classes scores
-    0.5; rows that repeat a doc_id are scored each; an empty table gives no rows.  `columns` of docs,
-    if named, follow in the result.
+    0.5; rows that repeat a doc_id are scored each; an empty table gives no rows; extra columns are
+    ignored.
     """
     tune(docs.sparkSession)
-    keep = columns or []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), as_text().alias("_scored"), *keep)
-    schema = rows.drop("_scored").schema.add("score", "double").add("predicted", "integer")
-    lower = model.how.lower
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            got = score([fold(t.as_py(), lower) for t in batch.column(2)])
-            cols = [c for i, c in enumerate(batch.columns) if i != 2] + [pa.array(got), pa.array((got >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            got = _scores(model, batch, score)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), as_text().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def passing(docs: DataFrame, model: CompressionClassifier, keep) -> DataFrame:
+    """The rows, all columns unchanged, whose scores `keep` (an array in, a mask out) lets pass."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
+        for batch in batches:
+            kept = batch.filter(pa.array(keep(_scores(model, batch, score)), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(kept.schema)[:-1]))
 
-    return rows.mapInArrow(run, schema).select("doc_id", "held_out", "score", "predicted", *keep)
+    return docs.select("*", as_text().alias("__scored")).mapInArrow(run, docs.schema)
 
 
 #: A document is toxic, or good, from this score on.
 TOXIC, GOOD = 0.7, 0.5
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Likelihood that a text is toxic; case is ignored."""
-    return classify(docs, learn(docs, labels, "toxic", TOXICITY), TOXIC, columns)
+    return classify(docs, learn(docs, labels, "toxic", TOXICITY), TOXIC)
 
 
-def quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Likelihood that a text is of good quality."""
-    return classify(docs, learn(docs, labels, "quality", QUALITY), GOOD, columns)
+    return classify(docs, learn(docs, labels, "quality", QUALITY), GOOD)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return passing(docs, learn(docs, labels, "toxic", TOXICITY), lambda scores: scores < TOXIC)
+
+
+def only_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return passing(docs, learn(docs, labels, "quality", QUALITY), lambda scores: scores >= GOOD)

@@ -536,49 +536,77 @@ def copies(docs: DataFrame) -> DataFrame:
     return light.join(first, ["key", "n"]).filter("doc_id > first").select("doc_id")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, passes: int = PASSES, with_text: bool = False) -> DataFrame:
-    """Remove every byte covered by a `length`-byte string that also starts in a smaller document.
-
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left).
-    A null or empty text gives 0 bytes; texts shorter than `length` stay whole; rows that repeat a
-    doc_id, or lack one, count as documents of their own in the order of doc_id (nulls first) and
-    text hash; an empty table gives no rows; extra columns are ignored.
-    """
-    spark = docs.sparkSession
-    tune(spark)
-    base, back = unique_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")), ["text"])
+def _cut(data: bytes, starts, ends, length: int) -> tuple[bytes, int, int]:
+    """What is left of a text, the bytes removed, and their runs.  An end of -1 is a copy's: all goes."""
+    if not starts or ends[0] == -1 and len(data) < length:
+        return data, 0, 0
+    parts, at, removed = [], 0, 0
+    for s, e in zip(starts, ends):
+        e = len(data) if e == -1 else e
+        parts.append(data[at:s])
+        at, removed = e, removed + e - s
+    return b"".join([*parts, data[at:]]), removed, len(starts)
+
+
+def _marked(base: DataFrame, length: int, block_bytes: int, passes: int) -> DataFrame:
+    """base (unique doc_id, text, ...) with the starts and ends of what goes from each text."""
     twins = Stored(copies(base), "suffix-copies")
     texts = base.join(twins.read(), "doc_id", "left_anti").select("doc_id", F.col("text").cast("binary").alias("data"))
     spans = removed_spans(texts, length, block_bytes=block_bytes, passes=passes)
     marked = twins.read().select("doc_id", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.lit(-1).cast("long")).alias("ends"))
-    if spans is not None:
-        marked = marked.unionByName(spans.read())
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    if with_text:
-        fields.append(("kept", pa.binary()))
-    schema = pa.schema(fields)
+    return base.join(marked.unionByName(spans.read()) if spans is not None else marked, "doc_id", "left")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, passes: int = PASSES) -> DataFrame:
+    """Remove every byte covered by a `length`-byte string that also starts in a smaller document.
+
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left).  A null or empty
+    text gives 0 bytes; texts shorter than `length` stay whole; rows that repeat a doc_id, or lack
+    one, count as documents of their own in the order of doc_id (nulls first) and text hash; an empty
+    table gives no rows; extra columns are ignored.
+    """
+    tune(docs.sparkSession)
+    base, back = unique_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")), ["text"])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def finish(batches):
         for batch in batches:
-            out = [[] for _ in fields]
+            out = [[] for _ in schema]
             for doc, data, starts, ends in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                n, removed, runs, kept = len(data), 0, 0, data
-                if starts and not (ends[0] == -1 and n < length):
-                    spans = [(s, n if e == -1 else e) for s, e in zip(starts, ends)]
-                    removed, runs, parts, at = sum(e - s for s, e in spans), len(spans), [], 0
-                    for s, e in spans:
-                        parts.append(data[at:s])
-                        at = e
-                    kept = b"".join([*parts, data[at:]])
-                for col, x in zip(out, (doc, n, removed, runs, hashlib.sha256(kept).hexdigest(), kept)):
+                kept, removed, runs = _cut(data, starts, ends, length)
+                for col, x in zip(out, (doc, len(data), removed, runs, hashlib.sha256(kept).hexdigest())):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(out, fields)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    out = (
-        base.select("doc_id", F.col("text").cast("binary").alias("data")).join(marked, "doc_id", "left").select("doc_id", "data", "starts", "ends")
-        .mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
-    )
+    rows = _marked(base, length, block_bytes, passes).select("doc_id", F.col("text").cast("binary").alias("data"), "starts", "ends")
+    out = rows.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if back is not None:
         names = out.columns
         out = out.join(back, "doc_id").drop("doc_id").withColumnRenamed("old_id", "doc_id").select(names)
     return out
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, passes: int = PASSES) -> DataFrame:
+    """The same rows and columns with the bytes that `dedup` removes gone from text.
+
+    A character that loses some of its bytes goes whole; n_chars, if there, is counted anew.
+    """
+    tune(docs.sparkSession)
+    rest = [c for c in docs.columns if c != "text"]
+    carried = F.struct(*[F.col(f"`{c}`") for c in rest])
+    base, _ = unique_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text"), carried.alias("carried")), ["text", "carried"])
+
+    def finish(batches):
+        for batch in batches:
+            texts = [_cut(*x, length)[0].decode("utf-8", "ignore") for x in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], names=["text", "carried"])
+
+    rows = _marked(base, length, block_bytes, passes).select(F.col("text").cast("binary").alias("data"), "starts", "ends", "carried")
+    kind = base.schema["carried"].dataType
+    from pyspark.sql.types import StringType, StructType
+
+    out = rows.mapInArrow(finish, StructType().add("text", StringType()).add("carried", kind))
+    named = {c: F.col(f"carried.`{c}`").alias(c) for c in rest} | {"text": F.col("text")}
+    if "n_chars" in named:
+        named["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[named[c] for c in docs.columns])
