@@ -76,8 +76,26 @@ def set_print(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s ^ x).sum(dtype=np.uint64).astype(np.int64)) for x in (U(0), U(0xA5A5A5A5A5A5A5A5)))
 
 
-SIZES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-SIZES_DDL = "doc_id long, n long, fp1 long, fp2 long, chunk int, counts binary"
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bit for each of about len(s) cells: whether an odd number of shingles falls into it.
+
+    Two sets' bits differ in at most as many places as there are shingles that only one has.
+    """
+    cells = 1 << max(6, (len(s) - 1).bit_length() if len(s) else 0)
+    odd = np.bincount((mix(s ^ U(0x5851F42D4C957F2D)) & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int, num: int = NUM, den: int = DEN) -> bool:
+    """False only if sets of n and m shingles with these bits can't meet the threshold."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    k = min(len(x), len(y))
+    x, y = np.bitwise_xor.reduce(x.reshape(-1, k), 0), np.bitwise_xor.reduce(y.reshape(-1, k), 0)
+    return int(np.bitwise_count(x ^ y).sum()) * (num + den) <= (den - num) * (n + m)
+
+
+SIZES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+SIZES_DDL = "doc_id long, n long, fp1 long, fp2 long, bits binary, chunk int, counts binary"
 CHUNKS = 16
 
 
@@ -95,13 +113,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = [set_print(s) for s in sets]
         k = len(sets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in fp], pa.int64()), pa.array([b for _, b in fp], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in fp], pa.int64()), pa.array([b for _, b in fp], pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
             schema=SIZES,
         )
     if total.any():
         parts = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in np.split(total, CHUNKS)]
         nothing = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=SIZES)
+        yield pa.RecordBatch.from_arrays([nothing] * 4 + [pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=SIZES)
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +211,8 @@ def _candidates(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         passed = table.filter(table["m"].is_null())
         table = table.filter(table["m"].is_valid())
-        found = [np.stack([passed["a"].to_numpy(), passed["b"].to_numpy()], 1)] if passed.num_rows else []
+        chains = [np.stack([passed["a"].to_numpy(), passed["b"].to_numpy()], 1)] if passed.num_rows else []
+        found = []
         if table.num_rows:
             key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
             node = np.frombuffer(b"".join(table["nodes"].to_pylist()), np.int64)
@@ -210,7 +229,7 @@ def _candidates(num: int, den: int):
             m = np.diff(np.append(first, len(key)))
             long = np.repeat((m > SHORT_LIST) | np.logical_or.reduceat(long, first), m)
             step = _chain(key, size, node, num, den) & long[1:]
-            found.append(np.stack([node[:-1][step], node[1:][step]], 1))
+            chains.append(np.stack([node[:-1][step], node[1:][step]], 1))
             # short lists: entries d apart
             short = np.nonzero(~long & np.repeat(m > 1, m))[0]
             key, node, size = key[short], node[short], size[short]
@@ -221,9 +240,28 @@ def _candidates(num: int, den: int):
                 if not ok.any():
                     break
                 found.append(np.stack([node[:-d][ok], node[d:][ok]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=EDGE)
+        parts = []
+        for kind, some in ((True, chains), (False, found)):
+            pairs = np.concatenate(some) if some else np.zeros((0, 2), np.int64)
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
+            parts.append(pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), kind))], schema=PAIR))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+PAIR = EDGE.append(pa.field("chain", pa.bool_()))
+
+
+def _plausible(num: int, den: int):
+    """Of pairs with both sets' sizes and bits: those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a print that two sets share has no bits, and its pairs go on
+            kept = [None in x or may_link(*x, num, den) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            few = batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([few.column(0), few.column(1)], names=["a", "b"])
 
     return run
 
@@ -287,7 +325,7 @@ FILTER_BITS = 1 << 25
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
-    return np.stack([mix(ids.astype(np.uint64) ^ U(k)) & U(FILTER_BITS - 1) for k in (1, 2, 3)])
+    return np.stack([mix(ids.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(k << 60)) & U(FILTER_BITS - 1) for k in (1, 2, 3)])
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +362,7 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     tune(spark)
     base, back = unique_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")), ["text"])
     seen = Stored(base.mapInArrow(_measure, SIZES_DDL), "jaccard-sizes")
-    rows = seen.read().filter("doc_id is not null").select("doc_id", "n", "fp1", "fp2")
+    rows = seen.read().filter("doc_id is not null").select("doc_id", "n", "fp1", "fp2", "bits")
     # the counts of tasks are added in two steps, in parallel by chunk
     added = seen.read().filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect()
     counts = np.zeros(SKETCH, np.uint32)
@@ -340,13 +378,18 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     total = sum(r.t for r in hist)
 
     # identical sets are one node, named by their print while candidates are sought
-    first = Stored(rows.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    first = Stored(rows.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits")), "jaccard-reps")
     buckets = max(4, -(-total // 4_000_000))
     sketch = spark.sparkContext.broadcast(counts)
     posts = base.select("text").mapInArrow(_post(sketch, boundary, buckets, num, den), POSTS_DDL)
-    pairs = Stored(posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_candidates(num, den), EDGE_DDL), "jaccard-pairs")
+    pairs = Stored(posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_candidates(num, den), EDGE_DDL + ", chain boolean"), "jaccard-pairs")
     release(spark)
-    near = connected_components(pairs.read()).withColumnRenamed("node", "fp1").join(first.read(), "fp1")
+    # of pairs from short lists only those go on whose bits leave a link possible
+    side = first.read().groupBy("fp1").agg(F.min("n").alias("n"), F.any_value("bits").alias("bits"), F.count("*").alias("same")).filter("same = 1")
+    sides = [side.select(F.col("fp1").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b")]
+    direct = pairs.read().filter("not chain").select("a", "b").distinct().join(sides[0], "a", "left").join(sides[1], "b", "left")
+    direct = direct.select("a", "b", "bits_a", "n_a", "bits_b", "n_b").mapInArrow(_plausible(num, den), EDGE_DDL)
+    near = connected_components(pairs.read().filter("chain").select("a", "b").unionByName(direct)).withColumnRenamed("node", "fp1").join(first.read(), "fp1")
     near = Stored(near.select(F.col("rep").alias("doc_id"), "component", "n"), "jaccard-near")
     pairs.drop()
     release(spark)
@@ -369,7 +412,7 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     links = Stored(dealt.select("grp", "task", "doc_id", "shingles").groupBy("grp").applyInArrow(_verify(num, den), EDGE_DDL), "jaccard-links")
     release(spark)
     classes = connected_components(links.read()).select(F.col("node").alias("rep"), "component")
-    named = rows.join(first.read(), ["fp1", "fp2", "n"], "left").join(classes, "rep", "left")
+    named = rows.drop("bits").join(first.read().drop("bits"), ["fp1", "fp2", "n"], "left").join(classes, "rep", "left")
     out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     if back is not None:
         out = out.join(back, "doc_id")
