@@ -370,8 +370,8 @@ def _suffixes(region: Block, length: int) -> np.ndarray:
 def _bucket_strings(row: dict, low: int, high: int, length: int, v: int, cover: tuple[int, ...]):
     """One suffix bucket of a block: sorted distinct strings, the smallest document of each, all places.
 
-    Returns places in sort order, the string number of each, each string's first place, document
-    numbers by place, and the smallest document number by string.
+    Returns places in sort order, the string number of each, each string's first place, and the ranks
+    of documents among the block's ids: by place, and the smallest by string.
     """
     region = Block(np.frombuffer(row["region_doc"], "<i4").astype(np.int64), np.frombuffer(row["lens"], "<i8"), row["data"])
     at = _suffixes(region, length)
@@ -379,11 +379,13 @@ def _bucket_strings(row: dict, low: int, high: int, length: int, v: int, cover:
     at = at[(lead >= low) & (lead < high)]
     order, new = sorted_strings(region, at, length, CoverRanks(v, cover, np.frombuffer(row["ranks"], np.uint32)))
     at = at[order]
-    doc = region.docs[region.of(at)]
-    ids = np.frombuffer(row["docs"], "<i8")[doc]
+    names = np.frombuffer(row["docs"], "<i8")
+    rank = np.empty(len(names), np.int32)
+    rank[np.argsort(names)] = np.arange(len(names))
+    ids = rank[region.docs][region.of(at)]
     number = np.cumsum(new) - 1
     first = np.nonzero(new)[0]
-    least = np.minimum.reduceat(ids, first) if len(first) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(ids, first) if len(first) else np.zeros(0, np.int32)
     return region, at, number, at[first], ids, least
 
 
@@ -395,12 +397,10 @@ def _send_strings(buckets: int, low: int, high: int, length: int, v: int, cover:
                 continue
             a, b = _digests(region.data, first, length, 2)
             bucket = (a % U(buckets)).astype(np.int64)
-            names = np.frombuffer(row["docs"], "<i8")
-            rank = np.searchsorted(names[np.argsort(names)], least).astype("<u4")
-            ordered = np.sort(names).astype("<i8").tobytes()
+            ordered = np.sort(np.frombuffer(row["docs"], "<i8")).tobytes()
             for k, own in enumerate(_by_bucket(np.arange(len(first)), bucket, buckets)):
                 if len(own):
-                    blob = _pack(a[own], 8) + _pack(b[own], 4) + rank[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                    blob = _pack(a[own], 8) + _pack(b[own], 4) + least[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k], pa.int32()), pa.array([row["block"]]), pa.array([len(own)], pa.int32()), pa.array([blob]), pa.array([ordered])], schema=SENT
                     )
