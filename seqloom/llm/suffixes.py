@@ -34,7 +34,7 @@ V = 31
 #: A perfect difference set modulo 31.
 COVER = (0, 1, 3, 8, 12, 18)
 #: Bytes of text in a block, and passes over the suffix buckets.
-BLOCK_BYTES, PASSES = 4 << 20, 5
+BLOCK_BYTES, PASSES = 2 << 20, 5
 
 U = np.uint64
 
@@ -484,7 +484,7 @@ def removed_spans(texts: DataFrame, length: int = LENGTH, v: int = V, cover: tup
     total = blocks.read().agg(F.sum(F.length("data"))).first()[0] or 0
     if not total:
         return None
-    buckets = max(4, -(-total // (16 << 20)))
+    buckets = max(4, -(-total // (8 << 20)))
     sent = blocks.read().select("block", "docs", "lens", "data").mapInArrow(_send_samples(buckets, length, v, cover), SENT_DDL)
     masks = Stored(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_tied_samples, MASK_DDL), "suffix-ties")
     release(spark)
@@ -503,7 +503,7 @@ def removed_spans(texts: DataFrame, length: int = LENGTH, v: int = V, cover: tup
         regions.drop()
         return None
     bounds = _balanced(counts, passes)
-    buckets = max(4, -(-int(counts.sum()) // (1_000_000 * (len(bounds) - 1))))
+    buckets = max(4, -(-int(counts.sum()) // (500_000 * (len(bounds) - 1))))
     found = []
     for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
         sent = regions.read().mapInArrow(_send_strings(buckets, low, high, length, v, cover), SENT_DDL)
