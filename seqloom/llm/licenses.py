@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text
+from .common import Stored, as_text
 
 WORDS, BANDS = 5, 32
 CONTAINED = 0.8
@@ -114,7 +114,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
         groups.setdefault(next((c for c in CLASSES if len(own) <= c), len(own)), []).append((name, own, bands))
     telling = {c: sorted({b ^ s for _, _, bands in found for b, s in zip(bands, seeds)}) for c, found in groups.items()}
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(as_text()).alias("hashes"))
-    some = base.filter(F.arrays_overlap("hashes", _longs(sorted({x for t in telling.values() for x in t}))))
+    if not groups:
+        return spark.createDataFrame([], "doc_id long, license string, n_shingles long, matched long, n_windows long, first_word long")
+    # stored, so that the texts are read and hashed once for all classes
+    some = Stored(base.filter(F.arrays_overlap("hashes", _longs(sorted({x for t in telling.values() for x in t})))), "license-hashes").read()
     each = []
     for longest, found in sorted(groups.items()):
         stride, width = _stride(longest), _window(longest)
@@ -132,8 +135,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
             .select("doc_id", "license", "at", F.size("own").cast("long").alias("n_shingles"), F.size(F.array_intersect("part", "own")).cast("long").alias("matched"))
             .filter(F.col("matched") >= contained * F.col("n_shingles"))
         )
-    if not each:
-        return spark.createDataFrame([], "doc_id long, license string, n_shingles long, matched long, n_windows long, first_word long")
     return (
         reduce(DataFrame.unionByName, each)
         .groupBy("doc_id", "license", "n_shingles")
