@@ -28,6 +28,12 @@ def traverse(edges: DataFrame, frontier: DataFrame, max_edges: int | None = None
     return with_index(found, "f_idx", EDGE).filter(F.col(IDX) < max_edges).drop(IDX)
 
 
+def edge_count(edges: DataFrame, frontier: DataFrame, capacity: int | None = None) -> DataFrame:
+    """One row: the edges of a whole traversal, and whether they fit the capacity."""
+    n = traverse(edges, frontier).agg(F.count("*").alias("edges"))
+    return n.select("edges", (F.col("edges") <= capacity if capacity is not None else F.lit(True)).alias("fits"))
+
+
 def source(traversal: DataFrame, vertices: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """A column of each edge's source vertex."""
     return traversal.join(vertices.select(F.col("id").alias(SRC), F.col(column).alias(name or f"source_{column}")), SRC)

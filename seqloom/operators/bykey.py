@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.monoids import Monoid, add
 from ..plans.order import IDX, columns, scan, scan_by_run
-from .scans import heads, unique
+from .scans import heads, scan_with, unique
 
 
 def inclusive_scan_by_key(df: DataFrame, keys: list[str], value: Column, op: Monoid, name: str = "scan", block: int = 0) -> DataFrame:
@@ -21,6 +23,19 @@ def exclusive_scan_by_key(df: DataFrame, keys: list[str], value: Column, op: Mon
     return scan_by_run(marked, name, F.col("__head"), F.col("__val"), op, inclusive=False, init=init, block=block).select(IDX, *columns(df), name)
 
 
+def scan_by_key_with(df: DataFrame, keys: list[str], value: Column, op: Callable[[Column, Column], Column], name: str = "scan", block: int = 256) -> DataFrame:
+    """inclusive_scan_by_key with any associative operation: values are combined together with whether
+    a run starts among them, which is associative too."""
+    marked = heads(df.withColumn("__val", value), keys, block=0)
+    pair = F.struct(F.col("__head").alias("h"), F.col("__val").alias("v"))
+
+    def both(a: Column, b: Column) -> Column:
+        return F.struct((a["h"] | b["h"]).alias("h"), F.when(b["h"], b["v"]).otherwise(op(a["v"], b["v"])).alias("v"))
+
+    got = scan_with(marked, pair, both, "__scan", block)
+    return got.select(IDX, *columns(df), F.col("__scan")["v"].alias(name))
+
+
 def run_numbers(df: DataFrame, keys: list[str], name: str = "__run", block: int = 0) -> DataFrame:
     """The number of each row's run, from 0."""
     marked = heads(df, keys, block=block)

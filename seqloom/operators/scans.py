@@ -20,6 +20,35 @@ def exclusive_scan(df: DataFrame, value: Column, op: Monoid, init, name: str = "
     return scan(df, name, value, op, inclusive=False, init=init, block=block)
 
 
+def scan_with(df: DataFrame, value: Column, op: Callable[[Column, Column], Column], name: str = "scan", block: int = 256, levels: int = 4) -> DataFrame:
+    """inclusive_scan with any associative operation on two columns.
+
+    A block's values are folded to its running results in one array; the blocks' totals are scanned in
+    the same way, level by level, and carried in.  Arrays hold `block` values, and the last level
+    n / block ** levels.
+    """
+
+    def running(values: Column) -> Column:
+        first = F.slice(values, 1, 1)
+        rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
+        return F.aggregate(rest, first, lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    def prefixes(part: DataFrame, level: int) -> DataFrame:
+        """(k, v) in order of k, dense -> (k, v, r)."""
+        grp = F.floor(F.col("k") / block) if level else F.lit(0).cast("long")
+        values = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda r: r["v"])
+        blocks = part.groupBy(grp.alias("b")).agg(values.alias("vs")).select("b", running(F.col("vs")).alias("rs"))
+        if not level:
+            return blocks.select(F.posexplode("rs").alias("k", "r")).select(F.col("k").cast("long"), "r")
+        totals = blocks.select(F.col("b").alias("k"), F.element_at("rs", -1).alias("v"))
+        carry = prefixes(totals, level - 1).select((F.col("k") + 1).alias("b"), F.col("r").alias("c"))
+        wide = blocks.join(carry, "b", "left").select("b", "c", F.posexplode("rs").alias("i", "r"))
+        return wide.select((F.col("b") * block + F.col("i")).alias("k"), F.when(F.col("c").isNull(), F.col("r")).otherwise(op(F.col("c"), F.col("r"))).alias("r"))
+
+    found = prefixes(df.select(F.col(IDX).alias("k"), value.alias("v")), levels)
+    return df.join(found.select(F.col("k").alias(IDX), F.col("r").alias(name)), IDX)
+
+
 def adjacent_difference(df: DataFrame, column: str, op: Callable[[Column, Column], Column], name: str = "difference", block: int = 0) -> DataFrame:
     """op(previous, current); the first row keeps its value."""
     prev = with_previous(df, {"__p": F.col(column)}, block)

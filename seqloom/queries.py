@@ -360,6 +360,21 @@ def unique_by_key(spark, d):
     return op.unique_by_key(events(spark, d).select(IDX, "event_type", "cents"), ["event_type"])
 
 
+@query(f"WITH {E} SELECT _idx, max(cents) OVER (ORDER BY _idx) AS scan FROM e")
+def scan_with(spark, d):
+    return op.scan_with(events(spark, d), F.col("cents"), lambda a, b: F.greatest(a, b)).select(IDX, "scan")
+
+
+@query(f"WITH {RUNS} SELECT _idx, min(cents) OVER (PARTITION BY run ORDER BY _idx) AS scan FROM r")
+def scan_by_key_with(spark, d):
+    return op.scan_by_key_with(events(spark, d), ["event_type"], F.col("cents"), lambda a, b: F.least(a, b)).select(IDX, "scan")
+
+
+@query(f"WITH {E} SELECT count(*) AS length, count(*) = 0 AS is_empty FROM e")
+def length(spark, d):
+    return generate.length(events(spark, d))
+
+
 # ---------------------------------------------------------------- order
 
 
@@ -674,6 +689,18 @@ def graph_emit(spark, d):
     return T.emit(T.traverse(edges, _frontier(vertices)), src=F.col("src"), dst=F.col("dst"), w=F.col("w"))
 
 
+@query(f"WITH {CSF} SELECT count(*) AS edges, count(*) <= 1000 AS fits FROM t")
+def graph_edge_count(spark, d):
+    edges, vertices = _met(spark, d)
+    return T.edge_count(edges, _frontier(vertices), 1000)
+
+
+@query(f"WITH {CSF} SELECT f_idx, edge_id, src, dst FROM t QUALIFY row_number() OVER (ORDER BY f_idx, edge_id) <= 500")
+def graph_traverse_capacity(spark, d):
+    edges, vertices = _met(spark, d)
+    return T.traverse(edges, _frontier(vertices), max_edges=500).select("f_idx", "edge_id", "src", "dst")
+
+
 @query(f"WITH {CSF}, r AS (SELECT f_idx, sum(w + val) AS x FROM t JOIN v ON v.id = t.dst GROUP BY f_idx) SELECT f._idx, f.v, coalesce(r.x, 0)::BIGINT AS reduced FROM f LEFT JOIN r ON f._idx = r.f_idx")
 def graph_reduce_by_source(spark, d):
     edges, vertices = _met(spark, d)

@@ -46,3 +46,8 @@ def to_values(df: DataFrame) -> list:
     """The rows in order, on the driver."""
     rows = [tuple(r)[1:] for r in df.select(IDX, *[c for c in df.columns if c != IDX]).orderBy(IDX).collect()]
     return [r[0] for r in rows] if rows and len(rows[0]) == 1 else rows
+
+
+def length(df: DataFrame) -> DataFrame:
+    """One row: the number of rows, and whether there are none."""
+    return df.agg(F.count("*").alias("length"), (F.count("*") == 0).alias("is_empty"))

@@ -60,6 +60,30 @@ def test_runs(spark, n, top):
     assert to_values(op.unique_by_key(s, ["k"], block=BLOCK)) == [r[0] for r in runs]
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 40])
+def test_any_operation(spark, n):
+    xs, ks = numbers(n, 9), numbers(n, 10, 2)
+    # composing x -> a * x + b, which is associative but not commutative
+    pair = F.struct((F.col("v") % 3 + 1).alias("a"), F.col("v").alias("b"))
+    both = lambda f, g: F.struct((f["a"] * g["a"] % 97).alias("a"), ((f["b"] * g["a"] + g["b"]) % 97).alias("b"))
+
+    def compose(rows):
+        out = []
+        for x in rows:
+            a, b = x % 3 + 1, x
+            if out:
+                p, q = out[-1]
+                a, b = p * a % 97, (q * a + b) % 97
+            out.append((a, b))
+        return out
+
+    s = seq(spark, list(zip(ks, xs)), "k long, v long")
+    got = to_values(op.scan_with(s, pair, both, block=3, levels=2).select(IDX, "scan.a", "scan.b"))
+    assert got == compose(xs)
+    got = to_values(op.scan_by_key_with(s, ["k"], pair, both, block=3).select(IDX, "scan.a", "scan.b"))
+    assert got == [y for _, g in itertools.groupby(zip(ks, xs), key=lambda p: p[0]) for y in compose([x for _, x in g])]
+
+
 @pytest.mark.parametrize("n", [0, 1, 9, 33])
 def test_selection(spark, n):
     xs = numbers(n, 3)
