@@ -41,10 +41,11 @@ class Settings:
     least: int  # texts that a string must stand in
     sigmas: float  # standard errors between its shares of the two classes
     times: float  # ratio of the shares
+    shifts: tuple[int, ...] = (0,)  # where the first whole window starts; each shift cuts the text anew
     dictionary: int = 16_384  # bytes
 
 
-TOXICITY = Settings(lower=True, window=256, grams=(4,), least=4, sigmas=4.0, times=4.0)
+TOXICITY = Settings(lower=True, window=256, grams=(4,), least=4, sigmas=4.0, times=4.0, shifts=(0, 128))
 QUALITY = Settings(lower=False, window=512, grams=(5,), least=4, sigmas=3.5, times=8.0)
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -125,10 +126,10 @@ def class_dictionary(texts: list[bytes], telling: dict[int, np.ndarray], size: i
 class Sizes:
     """Compressed sizes of a text's windows under both dictionaries, and what they say of the text."""
 
-    def __init__(self, first: bytes, second: bytes, window: int):
+    def __init__(self, first: bytes, second: bytes, how: Settings):
         # equal lengths: a match costs the same in either
         pad = max(len(first), len(second), 8)
-        self.window = window
+        self.window, self.shifts = how.window, how.shifts
         self.first, self.second = (self._compressor(d.rjust(pad, b"\0")) for d in (first, second))
 
     @staticmethod
@@ -141,12 +142,18 @@ class Sizes:
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
 
     def features(self, data: bytes) -> list[float]:
+        """Overlapping windows see a string whole that another cut divides, so every shift counts."""
+        return [x for shift in self.shifts for x in self._features(data, shift)]
+
+    def _features(self, data: bytes, shift: int) -> list[float]:
         first, second, w = self.first.compress, self.second.compress, self.window
-        a, b = [], []
-        for k in range(0, max(1, len(data)), w):
-            part = data[k : k + w]
+        a, b, k = [], [], 0
+        while k < len(data) or not a:
+            end = k + w if k or not shift else shift
+            part = data[k:end]
             a.append(len(first(part)))
             b.append(len(second(part)))
+            k = end
         gain = [y - x for x, y in zip(a, b)]
         total, n, net = sum(a) + sum(b), len(a), sum(b) - sum(a)
         plus, minus = sum(g for g in gain if g > 2), sum(-g for g in gain if g < -2)
@@ -201,7 +208,7 @@ class CompressionClassifier:
         counts = [[{n: _frequencies(part, n) for n in how.grams} for part in side] for side in held]
         rows, found = [], []
         for i in range(FOLDS):
-            sizes = Sizes(*self._dictionaries(held, counts, [j for j in range(FOLDS) if j != i]), how.window)
+            sizes = Sizes(*self._dictionaries(held, counts, [j for j in range(FOLDS) if j != i]), how)
             for side, y in zip(held, (1, 0)):
                 rows += [sizes.features(t) for t in side[i]]
                 found += [y] * len(side[i])
@@ -221,7 +228,7 @@ class CompressionClassifier:
         """Scores of a list of texts."""
         if self.calibration is None:
             return lambda texts: np.full(len(texts), 0.5)
-        sizes = Sizes(*self.dictionaries, self.how.window)
+        sizes = Sizes(*self.dictionaries, self.how)
         return lambda texts: self.calibration.score(np.array([sizes.features(t) for t in texts])) if texts else np.zeros(0)
 
 
