@@ -19,8 +19,6 @@ def _counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _kept(df: DataFrame, other: DataFrame, keys: list[str], side: int, within: bool) -> DataFrame:
     """Occurrences whose rank is within the number that the other side has of them, or beyond it."""
-    if not within and side == 0 and other is None:
-        return _ranked(df, keys, side)
     n = F.coalesce("__n", F.lit(0))
     joined = _ranked(df, keys, side).join(_counts(other, keys), keys, "left")
     return joined.filter(F.col("__rank") <= n if within else F.col("__rank") > n).drop("__n")

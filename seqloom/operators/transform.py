@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import LengthMismatchError
-from ..plans.order import IDX, columns, reindex
+from ..errors import InvalidArgumentError, LengthMismatchError
+from ..functions.monoids import add
+from ..plans.order import IDX, columns, scan
 
 
 def map_rows(df: DataFrame, **named: Column) -> DataFrame:
@@ -18,7 +19,7 @@ def map_rows(df: DataFrame, **named: Column) -> DataFrame:
 
 def copy(df: DataFrame, destination: DataFrame) -> DataFrame:
     """destination with its first rows replaced by df's; columns go by place."""
-    named = df.toDF(IDX, *[f"__new_{c}" for c in columns(destination)]) if df.columns[0] == IDX else df.select(IDX, *columns(df)).toDF(IDX, *[f"__new_{c}" for c in columns(destination)])
+    named = df.select(IDX, *columns(df)).toDF(IDX, *[f"__new_{c}" for c in columns(destination)])
     joined = destination.join(named.withColumn("__hit", F.lit(True)), IDX, "left")
     return joined.select(IDX, *[F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) for c in columns(destination)])
 
@@ -44,9 +45,6 @@ def flat_map(df: DataFrame, count: Column, generate: Callable[[Column], Column],
     wide = df.select(IDX, F.posexplode(each).alias("__pos", name))
     # a row's results stay in its block of positions
     sizes = df.select(IDX, F.greatest(count.cast("long"), F.lit(0)).alias("__n"))
-    from ..functions.monoids import add
-    from ..plans.order import scan
-
     ahead = scan(sizes, "__ahead", F.col("__n"), add, inclusive=False, init=0)
     return wide.join(ahead.select(IDX, "__ahead"), IDX).select((F.col("__ahead") + F.col("__pos")).alias(IDX), name)
 
@@ -79,13 +77,9 @@ def with_table(df: DataFrame, shared: DataFrame, name: str, limit: int = 1 << 20
 
     The array goes to every task, so a table of more than `limit` rows is refused.
     """
-    from ..errors import InvalidArgumentError
-
     if (n := shared.limit(limit + 1).count()) > limit:
         raise InvalidArgumentError(f"a shared table of {n} rows or more; at most {limit} are sent to every task")
     row = F.struct(IDX, *columns(shared))
     whole = shared.agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(*[r[c].alias(c) for c in columns(shared)])).alias(name))
     return df.join(F.broadcast(whole))
 
-
-__all__ = ["map_rows", "copy", "fill", "replace_where", "transform_where", "flat_map", "reverse", "slice_rows", "zip_rows", "with_table", "reindex"]
