@@ -105,11 +105,11 @@ def _texts(batch: pa.RecordBatch, col: int = 1) -> list[bytes]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size and 128-bit set fingerprint of each text, and the task's shingle counts."""
-    total = np.zeros(SKETCH, np.int64)
+    total = np.zeros(SKETCH, np.uint32)
     for batch in batches:
         sets = shingle_sets(_texts(batch))
-        if sets:
-            total += np.bincount((np.concatenate(sets) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        for s in sets:
+            np.add.at(total, (s & U(SKETCH - 1)).astype(np.int64), 1)
         fp = [set_print(s) for s in sets]
         k = len(sets)
         yield pa.RecordBatch.from_arrays(
@@ -117,7 +117,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema=SIZES,
         )
     if total.any():
-        parts = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in np.split(total, CHUNKS)]
+        parts = [x.astype("<u4").tobytes() for x in np.split(total, CHUNKS)]
         nothing = pa.nulls(CHUNKS, pa.int64())
         yield pa.RecordBatch.from_arrays([nothing] * 4 + [pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=SIZES)
 
@@ -152,7 +152,7 @@ def _chain(key: np.ndarray, size: np.ndarray, node: np.ndarray, num: int, den: i
     return (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (size[:-1] * den >= size[1:] * num)
 
 
-def _post(sketch, boundary: int, buckets: int, num: int, den: int, flush: int = 1_500_000):
+def _post(sketch, boundary: int, buckets: int, num: int, den: int, flush: int = 500_000):
     """Keys of every set, by bucket.  A list that is long within a task leaves as its chain and one entry."""
 
     def out(keys, nodes, sizes):
@@ -329,22 +329,23 @@ def _bits(ids: np.ndarray) -> np.ndarray:
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, bool)
+    words = np.zeros(FILTER_BITS // 64, np.uint64)
     for batch in batches:
-        bits[_bits(batch.column(0).to_numpy()).astype(np.int64).ravel()] = True
-    words = np.packbits(bits, bitorder="little").view("<i8")
+        at = _bits(batch.column(0).to_numpy()).ravel()
+        np.bitwise_or.at(words, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
     some = np.nonzero(words)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(words[some])], names=["at", "word"])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(words[some].view(np.int64))], names=["at", "word"])
 
 
 def _ship(marks):
     """The sets of documents that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marks.value.view(np.uint8), bitorder="little").view(bool)
+        words = marks.value.view(np.uint64)
         for batch in batches:
-            near = pa.array(bits[_bits(batch.column(0).to_numpy()).astype(np.int64)].all(0))
-            batch = batch.filter(near)
+            at = _bits(batch.column(0).to_numpy())
+            near = (words[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).all(0)
+            batch = batch.filter(pa.array(near, pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(_texts(batch))], pa.binary())], names=["doc_id", "shingles"])
 
     return run
@@ -388,10 +389,12 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     side = first.read().groupBy("fp1").agg(F.min("n").alias("n"), F.any_value("bits").alias("bits"), F.count("*").alias("same")).filter("same = 1")
     sides = [side.select(F.col("fp1").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b")]
     direct = pairs.read().filter("not chain").select("a", "b").distinct().join(sides[0], "a", "left").join(sides[1], "b", "left")
-    direct = direct.select("a", "b", "bits_a", "n_a", "bits_b", "n_b").mapInArrow(_plausible(num, den), EDGE_DDL)
-    near = connected_components(pairs.read().filter("chain").select("a", "b").unionByName(direct)).withColumnRenamed("node", "fp1").join(first.read(), "fp1")
+    # stored, since what follows runs Python too and a task would hold two workers
+    direct = Stored(direct.select("a", "b", "bits_a", "n_a", "bits_b", "n_b").mapInArrow(_plausible(num, den), EDGE_DDL), "jaccard-direct")
+    near = connected_components(pairs.read().filter("chain").select("a", "b").unionByName(direct.read())).withColumnRenamed("node", "fp1").join(first.read(), "fp1")
     near = Stored(near.select(F.col("rep").alias("doc_id"), "component", "n"), "jaccard-near")
     pairs.drop()
+    direct.drop()
     release(spark)
 
     # every set of a class of candidates is compared with the others; large classes in pairs of blocks

@@ -9,7 +9,7 @@ U = np.uint64
 WORDS = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at once; bounds the arrays of powers.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
