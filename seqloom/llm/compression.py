@@ -24,11 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, tune
+from .common import Stored, as_text, tune
 
-#: Labelled rows of either class that are learnt from at most, and bytes of each such text.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 8192
+#: Labelled rows of either class that are learnt from at most; of each, the whole text.
+SAMPLE_ROWS = 6000
 FOLDS = 3
+#: Texts that a stretch must stand in.
+LEAST_TEXTS = 3
 
 
 @dataclass(frozen=True)
@@ -61,21 +63,14 @@ def _grams(data: bytes, n: int) -> np.ndarray:
     return np.ndarray((max(0, len(data) - n + 1),), "<u8", raw, strides=(1,)) & np.uint64((1 << (8 * n)) - 1)
 
 
-def _frequencies(texts: list[bytes], n: int, step: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of n bytes and the number of texts that hold each; merged in steps, which bounds memory."""
-    out = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for k in range(0, len(texts), step):
-        out = _merge([out, np.unique(np.concatenate([np.unique(_grams(t, n)) for t in texts[k : k + step]]), return_counts=True)])
+def _distinct(data: bytes, n: int, step: int = 1 << 20) -> np.ndarray:
+    """Each string of n bytes in a text once; read in steps, which bounds memory."""
+    out = np.zeros(0, np.uint64)
+    for k in range(0, len(data) - n + 1, step):
+        out = np.union1d(out, _grams(data[k : k + step + n - 1], n))
     return out
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies of several sets of texts together."""
-    values = np.concatenate([u for u, _ in parts] + [np.zeros(0, np.uint64)])
-    both, back = np.unique(values, return_inverse=True)
-    return both, np.bincount(back, np.concatenate([c for _, c in parts] + [np.zeros(0)]), len(both)).astype(np.int64)
-
-
 def contrast(own: tuple, texts: int, other: tuple, others: int, how: Settings) -> np.ndarray:
     """Strings that stand in more of `own` than of `other`: significantly, and several times as many.
 
@@ -90,33 +85,36 @@ def contrast(own: tuple, texts: int, other: tuple, others: int, how: Settings) -
     return u[(c >= how.least) & (p - q > how.sigmas * spread) & (p > how.times * (q + 0.5 / max(1, others)))]
 
 
-def class_dictionary(texts: list[bytes], telling: dict[int, np.ndarray], size: int, longest: int = 24) -> bytes:
-    """The stretches covered by telling strings, by the number of texts that hold them; the most frequent stands last."""
-    counts: Counter[bytes] = Counter()
-    telling = {n: g for n, g in telling.items() if len(g)}
-    for t in texts if telling else []:
-        edge = np.zeros(len(t) + 1, np.int32)
-        for n, grams in telling.items():
-            g = _grams(t, n)
+def stretches(t: bytes, telling: dict[int, np.ndarray], longest: int = 24, step: int = 1 << 18) -> set[bytes]:
+    """The stretches of a text that telling strings cover, each once."""
+    covered = np.zeros(len(t), bool)
+    for n, grams in telling.items():
+        for k in range(0, len(t) - n + 1 if len(grams) else 0, step):
+            g = _grams(t[k : k + step + n - 1], n)
             at = np.searchsorted(grams, g)
             at[at == len(grams)] = 0
-            hit = np.nonzero(grams[at] == g)[0]
-            edge += np.bincount(hit, minlength=len(t) + 1) - np.bincount(hit + n, minlength=len(t) + 1)
-        turn = np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8))
-        found = set()
-        for begin, end in zip(np.nonzero(turn == 1)[0].tolist(), np.nonzero(turn == -1)[0].tolist()):
-            s = t[begin:end]
-            # a word cut off by the run's ends is no part of the stretch
-            if (k := s.rfind(b" ", 0, 4)) > 0:
-                s = s[k:]
-            if (k := s.find(b" ", max(1, len(s) - 3))) > 0:
-                s = s[: k + 1]
-            if len(s) >= 4:
-                found.add(s[:longest])
-        counts.update(found)
+            hit = grams[at] == g
+            for j in range(n):
+                covered[k + j : k + j + len(hit)] |= hit
+    turn = np.diff(covered.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    found = set()
+    for begin, end in zip(np.nonzero(turn == 1)[0].tolist(), np.nonzero(turn == -1)[0].tolist()):
+        s = t[begin:end]
+        # a word cut off by the run's ends is no part of the stretch
+        if (k := s.rfind(b" ", 0, 4)) > 0:
+            s = s[k:]
+        if (k := s.find(b" ", max(1, len(s) - 3))) > 0:
+            s = s[: k + 1]
+        if len(s) >= 4:
+            found.add(s[:longest])
+    return found
+
+
+def class_dictionary(counts: dict[bytes, int], size: int) -> bytes:
+    """Stretches by the number of texts that hold them; the most frequent stands last."""
     out = b""
     for s, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        if c < 3 or len(out) + len(s) > size:
+        if c < LEAST_TEXTS or len(out) + len(s) > size:
             break
         if s not in out:
             out = s + out
@@ -191,38 +189,13 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.weights, -30, 30)))
 
 
+@dataclass
 class CompressionClassifier:
-    """Learnt from labelled texts; scores any text from 0 to 1 (label 1 likelier).
+    """Scores any text from 0 to 1 (label 1 likelier); every text 0.5 where there is no calibration."""
 
-    Calibration sees each text through dictionaries made without it: texts fall into FOLDS folds by
-    their own checksum, so copies stay together, and each fold is measured with the dictionaries of
-    the others.  Those that score are made from all.
-    """
-
-    def __init__(self, texts: list[bytes], labels: list[int], how: Settings):
-        self.how, self.dictionaries, self.calibration = how, (b"", b""), None
-        fold = [zlib.crc32(t) % FOLDS for t in texts]
-        held = [[[t for t, y, f in zip(texts, labels, fold) if (y, f) == (k, i)] for i in range(FOLDS)] for k in (1, 0)]
-        if min(len(set(labels)), *(sum(map(bool, side)) for side in held)) < 2:
-            return
-        counts = [[{n: _frequencies(part, n) for n in how.grams} for part in side] for side in held]
-        rows, found = [], []
-        for i in range(FOLDS):
-            sizes = Sizes(*self._dictionaries(held, counts, [j for j in range(FOLDS) if j != i]), how)
-            for side, y in zip(held, (1, 0)):
-                rows += [sizes.features(t) for t in side[i]]
-                found += [y] * len(side[i])
-        self.dictionaries = self._dictionaries(held, counts, list(range(FOLDS)))
-        self.calibration = Calibration(np.array(rows), np.array(found, float))
-
-    def _dictionaries(self, held: list, counts: list, folds: list[int]) -> tuple[bytes, bytes]:
-        sides = [[t for i in folds for t in side[i]] for side in held]
-        seen = [{n: _merge([side[i][n] for i in folds]) for n in self.how.grams} for side in counts]
-        out = []
-        for k in (0, 1):
-            telling = {n: contrast(seen[k][n], len(sides[k]), seen[1 - k][n], len(sides[1 - k]), self.how) for n in self.how.grams}
-            out.append(class_dictionary(sides[k], telling, self.how.dictionary))
-        return out[0], out[1]
+    how: Settings
+    dictionaries: tuple[bytes, bytes] = (b"", b"")
+    calibration: Calibration | None = None
 
     def scorer(self):
         """Scores of a list of texts."""
@@ -237,8 +210,132 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, how: Settings, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> CompressionClassifier:
-    """Fit on at most `rows` rows of either label, chosen by a hash of doc_id, none of them held out."""
+SAMPLE_DDL = "doc_id long, y int, fold int, data binary"
+
+
+def _prepare(lower: bool):
+    """A labelled text's bytes and its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [t.translate(_LOWER) if lower else t for t in batch.column(2).to_pylist()]
+            fold = [zlib.crc32(t) % FOLDS for t in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fold, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "y", "fold", "data"])
+
+    return run
+
+
+#: Classes by folds; the texts of a class and fold that hold a string are counted in one column.
+SLOTS = 2 * FOLDS
+COUNTS_DDL = ", ".join(["n int", "gram long", *(f"c{k} long" for k in range(SLOTS))])
+
+
+def _count(sizes: tuple[int, ...], most: int = 1_000_000):
+    """Strings of so many bytes and the texts of every class and fold that hold each."""
+
+    def flush(n: int, parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        slot = np.concatenate([np.full(len(g), k) for k, g in parts])
+        grams, back = np.unique(np.concatenate([g for _, g in parts]), return_inverse=True)
+        counts = np.bincount(back * SLOTS + slot, minlength=len(grams) * SLOTS).reshape(-1, SLOTS)
+        cols = [np.full(len(grams), n, np.int32), grams.view(np.int64), *(np.ascontiguousarray(c) for c in counts.T)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["n", "gram", *(f"c{k}" for k in range(SLOTS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = {n: [] for n in sizes}, dict.fromkeys(sizes, 0)
+        for batch in batches:
+            for y, fold, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for n in sizes:
+                    grams = _distinct(t.as_py(), n)
+                    parts[n].append((y * FOLDS + fold, grams))
+                    held[n] += len(grams)
+                    if held[n] > most:
+                        yield flush(n, parts[n])
+                        parts[n], held[n] = [], 0
+        for n in sizes:
+            if held[n]:
+                yield flush(n, parts[n])
+
+    return run
+
+
+def _cover(telling: list[list[dict[int, np.ndarray]]], most: int = 200_000):
+    """Stretches of the texts that a dictionary is made from, for each choice of folds and class."""
+    names = ["made", "y", "stretch", "texts"]
+
+    def flush(counts: Counter) -> pa.RecordBatch:
+        made, y, stretch = zip(*counts)
+        types = pa.int32(), pa.int32(), pa.binary(), pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((made, y, stretch, list(counts.values())), types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for y, fold, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                t = t.as_py()
+                for made in range(FOLDS + 1):
+                    if made != fold:
+                        counts.update((made, y, s) for s in stretches(t, telling[made][y]))
+                if len(counts) > most:
+                    yield flush(counts)
+                    counts.clear()
+        if counts:
+            yield flush(counts)
+
+    return run
+
+
+def _measure(dictionaries: list[tuple[bytes, bytes]], how: Settings):
+    """Features of a text by the dictionaries made without its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [Sizes(*d, how) for d in dictionaries[:FOLDS]]
+        for batch in batches:
+            x = [sizes[fold].features(t.as_py()) for fold, t in zip(batch.column(2).to_pylist(), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+
+    return run
+
+
+def _fit(sample: DataFrame, how: Settings) -> CompressionClassifier:
+    """Learn from a stored sample (doc_id, y, fold, data).
+
+    Whole texts are read on the executors; the driver gets counts of strings and stretches, and each
+    text's features.  Calibration sees a text through dictionaries made without it: texts fall into
+    FOLDS folds by their own checksum, so copies stay together, and each fold is measured with the
+    dictionaries of the others.  Those that score are made from all.
+    """
+    texts = {(r.y, r.fold): r.n for r in sample.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}  # SLOTS rows
+    if min(sum(y == k for y, _ in texts) for k in (0, 1)) < 2:
+        return CompressionClassifier(how)
+    counted = sample.select("y", "fold", "data").mapInArrow(_count(how.grams), COUNTS_DDL).groupBy("n", "gram").agg(*(F.sum(f"c{k}").cast("int").alias(f"c{k}") for k in range(SLOTS)))
+    # strings in fewer texts tell of neither class, however folds are chosen
+    total = [sum((F.col(f"c{y * FOLDS + i}") for i in range(FOLDS)), F.lit(0)) for y in (0, 1)]
+    got = counted.filter((total[0] >= how.least) | (total[1] >= how.least)).toArrow()
+    sizes, grams = got["n"].to_numpy(), got["gram"].to_numpy().view(np.uint64)
+    counts = np.stack([got[f"c{k}"].to_numpy() for k in range(SLOTS)])
+    telling = []
+    for made in range(FOLDS + 1):
+        folds = [i for i in range(FOLDS) if i != made]
+        n = [sum(texts.get((y, i), 0) for i in folds) for y in (0, 1)]
+        seen = [counts[[y * FOLDS + i for i in folds]].sum(0) for y in (0, 1)]
+        telling.append([{}, {}])
+        for size in how.grams:
+            at = np.nonzero(sizes == size)[0]
+            at = at[np.argsort(grams[at])]
+            for y in (0, 1):
+                telling[made][y][size] = contrast((grams[at], seen[y][at]), n[y], (grams[at], seen[1 - y][at]), n[1 - y], how)
+    covered = sample.select("y", "fold", "data").mapInArrow(_cover(telling), "made int, y int, stretch binary, texts long").groupBy("made", "y", "stretch").agg(F.sum("texts").alias("texts"))
+    found: list[list[dict[bytes, int]]] = [[{}, {}] for _ in range(FOLDS + 1)]
+    for r in covered.filter(F.col("texts") >= LEAST_TEXTS).collect():  # stretches of 2 * SAMPLE_ROWS texts
+        found[r.made][r.y][bytes(r.stretch)] = r.texts
+    dictionaries = [(class_dictionary(f[1], how.dictionary), class_dictionary(f[0], how.dictionary)) for f in found]
+    rows = sorted((r.doc_id, r.y, r.x) for r in sample.mapInArrow(_measure(dictionaries, how), "doc_id long, y int, x array<double>").collect())
+    return CompressionClassifier(how, dictionaries[FOLDS], Calibration(np.array([x for _, _, x in rows]), np.array([y for _, y, _ in rows], float)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str, how: Settings, rows: int = SAMPLE_ROWS) -> CompressionClassifier:
+    """Fit on the whole texts of at most `rows` rows of either label, chosen by a hash of doc_id, none of them held out."""
+    tune(docs.sparkSession)
     picked = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z")).filter("y = z").drop("z")
@@ -246,11 +343,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, how: Settings, rows: i
     order = F.xxhash64("doc_id"), F.col("doc_id")
     ids = [r for y in (0, 1) for r in picked.filter(F.col("y") == y).orderBy(*order).limit(rows).collect()]  # 2 * rows numbers at most
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id long, y int")
-    text = F.substring(as_text().cast("binary"), 1, size)
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("data")).join(F.broadcast(chosen), "doc_id").collect()
-    got = sorted(((r.doc_id, bytes(r.data), r.y) for r in got))
-    data = [d.translate(_LOWER) if how.lower else d for _, d, _ in got]
-    return CompressionClassifier(data, [y for _, _, y in got], how)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().cast("binary").alias("data"))
+    sample = Stored(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "data").mapInArrow(_prepare(how.lower), SAMPLE_DDL), "labelled")
+    model = _fit(sample.read(), how)
+    sample.drop()
+    return model
 
 
 def _scores(model: CompressionClassifier, batch: pa.RecordBatch, score) -> np.ndarray:

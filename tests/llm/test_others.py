@@ -211,6 +211,28 @@ def test_classifiers(spark, name, label, limit):
     assert np.mean(right) > 0.95
 
 
+def test_labels_due_to_late_passages_are_learnt(spark):
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in "thonerinreedatortistvecal" for b in ("a", "en", "ing", "er", "or", "ly")]
+    docs, labels = [], []
+    for i in range(300):
+        text = " ".join(r.choice(words) for _ in range(2800))
+        assert len(text) > 9000
+        docs.append((i, text + " blargwit snotgoblin dunderclod" * 4 if i % 3 == 0 else text))
+        labels.append((i, 1, int(i % 3 == 0)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = compression.toxicity(docs, labels).filter("held_out").collect()
+    assert all(x.predicted == (x.doc_id % 3 == 0) for x in got)
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 18])
+def test_stretches_do_not_depend_on_steps(step):
+    data = ("the blargwit and snotgoblin of " * 5).encode()
+    grams = np.unique(np.concatenate([compression._grams(x, 4) for x in (b"blargwit", b"snotgoblin")]))
+    assert compression.stretches(data, {4: grams}, step=step) == {b"blargwit", b"snotgoblin"}
+    assert (compression._distinct(data, 4, step) == np.unique(compression._grams(data, 4))).all()
+
+
 def test_held_out_labels_are_not_learnt(spark):
     docs, labels = made_corpus(spark, 300)
     flipped = labels.selectExpr("doc_id", "if(crc32(string(doc_id)) % 3 = 1, 1 - quality, quality) as quality", "toxic")
