@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, as_text, release, tune, unique_ids
-from .components import EDGE, EDGE_DDL, Forest, connected_components
+from .components import EDGE, EDGE_DDL, connected_components
 from .shingles import mix, shingle_sets
 
 U = np.uint64
@@ -266,55 +266,66 @@ def _plausible(num: int, den: int):
     return run
 
 
-def link_sets(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """Links that join the same sets as all links of the threshold do, found exactly.
+def link_sets(sets: list[np.ndarray], copies: np.ndarray, block: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join the same sets as all links of the threshold do, and each set's number of links.
 
-    A set is compared with all others through the inverted lists; that goes on until all sets not yet
-    compared are in one component, so no two sets of different components are left untested.
+    Every set is compared with all others through the inverted lists; a partner counts with its copies.
+    Where blocks are given, only sets of different blocks are partners.
     """
     k = len(sets)
     n = np.array([len(s) for s in sets])
-    tree, links = Forest(k), []
-    if k == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if both * den >= num * (n.sum() - both) else []
+    group, links, partners = np.arange(k), [], np.zeros(k, np.int64)
     token = np.concatenate(sets)
-    owner = np.repeat(np.arange(k), n)
     order = np.argsort(token, kind="stable")
     ranked = token[order]
-    lists = owner[order]
-    done = np.zeros(k, bool)
-    while True:
-        open_ = np.nonzero(~done)[0]
-        root = np.array([tree.find(int(x)) for x in open_])
-        if not len(root) or (root == root[0]).all():
-            return links
-        values, counts = np.unique(root, return_counts=True)
-        x = int(open_[np.nonzero(root != values[np.argmax(counts)])[0][0]])
+    lists = np.repeat(np.arange(k), n)[order]
+    for x in range(k):
         low, high = np.searchsorted(ranked, sets[x], "left"), np.searchsorted(ranked, sets[x], "right")
         m = high - low
         at = np.repeat(low - (np.cumsum(m) - m), m) + np.arange(m.sum())
         both = np.bincount(lists[at], minlength=k)
-        for y in np.nonzero(both * den >= num * (n[x] + n - both))[0].tolist():
-            if y != x and tree.join(x, y):
-                links.append((x, y))
-        done[x] = True
+        meets = both * den >= num * (n[x] + n - both)
+        meets[x] = False
+        if block is not None:
+            meets &= block != block[x]
+        near = np.nonzero(meets)[0]
+        partners[x] = copies[near].sum()
+        for c, first in zip(*np.unique(group[near], return_index=True)):
+            if c != group[x]:
+                links.append((x, int(near[first])))
+                group[group == c] = group[x]
+    return links, partners
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("links", pa.int64())])
+LINKS_DDL = "a long, b long, id long, links long"
 
 
 def _verify(num: int, den: int):
+    """Edges that join the linked sets (a, b), and the links of each set (id, links)."""
+
     def run(table: pa.Table) -> pa.Table:
         clusters = table["task"].to_pylist()
-        nodes, blobs = table["doc_id"].to_pylist(), table["shingles"].to_pylist()
+        nodes, blobs = table["doc_id"].to_numpy(), table["shingles"].to_pylist()
+        copies, block = table["copies"].to_numpy(), table["own"].to_numpy()
         by: dict = {}
         for i, c in enumerate(clusters):
             by.setdefault(c, []).append(i)
-        out = [[], []]
+        out = [[], [], [], []]
         for own in by.values():
-            if len(own) > 1:
-                for x, y in link_sets([np.frombuffer(blobs[i], np.uint64) for i in own], num, den):
+            # a task of two blocks compares them with each other; each with itself is another task
+            apart = block[own] if len(set(block[own].tolist())) > 1 else None
+            if len(own) > 1 and (apart is not None or table["inner"][own[0]].as_py()):
+                links, partners = link_sets([np.frombuffer(blobs[i], np.uint64) for i in own], copies[own], apart, num, den)
+                for x, y in links:
                     out[0].append(nodes[own[x]])
                     out[1].append(nodes[own[y]])
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], schema=EDGE)
+                for x in np.nonzero(partners)[0].tolist():
+                    out[2].append(nodes[own[x]])
+                    out[3].append(partners[x])
+        edges, counted = pa.nulls(len(out[0]), pa.int64()), pa.nulls(len(out[2]), pa.int64())
+        a, b, ids, links = (pa.array(c, pa.int64()) for c in out)
+        return pa.table([pa.chunked_array(c) for c in ([a, counted], [b, counted], [edges, ids], [edges, links])], schema=LINKS)
 
     return run
 
@@ -354,8 +365,8 @@ def _ship(marks):
 def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Class of every document under the links  den * |A & B| >= num * |A | B|  of shingle sets.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself
-    included).  A null or empty text has no shingles and no links; rows that repeat a doc_id, or lack
+    Returns doc_id, n_shingles, n_links (other rows that meet the threshold), component_id (the
+    smallest doc_id reachable by links, itself included).  A null or empty text has no shingles and no links; rows that repeat a doc_id, or lack
     one, are told apart by a row number while joining and have the smallest doc_id of their class; an
     empty table gives no rows; extra columns are ignored.
     """
@@ -379,7 +390,7 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     total = sum(r.t for r in hist)
 
     # identical sets are one node, named by their print while candidates are sought
-    first = Stored(rows.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits")), "jaccard-reps")
+    first = Stored(rows.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits"), F.count("*").alias("copies")), "jaccard-reps")
     buckets = max(4, -(-total // 4_000_000))
     sketch = spark.sparkContext.broadcast(counts)
     posts = base.select("text").mapInArrow(_post(sketch, boundary, buckets, num, den), POSTS_DDL)
@@ -392,7 +403,7 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     # stored, since what follows runs Python too and a task would hold two workers
     direct = Stored(direct.select("a", "b", "bits_a", "n_a", "bits_b", "n_b").mapInArrow(_plausible(num, den), EDGE_DDL), "jaccard-direct")
     near = connected_components(pairs.read().filter("chain").select("a", "b").unionByName(direct.read())).withColumnRenamed("node", "fp1").join(first.read(), "fp1")
-    near = Stored(near.select(F.col("rep").alias("doc_id"), "component", "n"), "jaccard-near")
+    near = Stored(near.select(F.col("rep").alias("doc_id"), "component", "n", "copies"), "jaccard-near")
     pairs.drop()
     direct.drop()
     release(spark)
@@ -403,22 +414,25 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     marks = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words:
         marks[r["at"]] = r.word
-    shipped = base.mapInArrow(_ship(spark.sparkContext.broadcast(marks)), "doc_id long, shingles binary").join(near.read().select("doc_id", "component"), "doc_id")
+    shipped = base.mapInArrow(_ship(spark.sparkContext.broadcast(marks)), "doc_id long, shingles binary").join(near.read().select("doc_id", "component", "copies"), "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
         shipped.join(blocks, "component", "left")
         .withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(others))
         .withColumn("task", F.concat_ws(":", "component", F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("inner", F.col("own") == F.col("other"))
         .withColumn("grp", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("component"), F.lit(buckets * 4)).cast("string")).otherwise(F.col("task")))
     )
-    links = Stored(dealt.select("grp", "task", "doc_id", "shingles").groupBy("grp").applyInArrow(_verify(num, den), EDGE_DDL), "jaccard-links")
+    links = Stored(dealt.select("grp", "task", "doc_id", "shingles", "copies", "own", "inner").groupBy("grp").applyInArrow(_verify(num, den), LINKS_DDL), "jaccard-links")
     release(spark)
-    classes = connected_components(links.read()).select(F.col("node").alias("rep"), "component")
-    named = rows.drop("bits").join(first.read().drop("bits"), ["fp1", "fp2", "n"], "left").join(classes, "rep", "left")
-    out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    classes = connected_components(links.read().filter("a is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
+    partners = links.read().filter("id is not null").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    named = rows.drop("bits").join(first.read().drop("bits"), ["fp1", "fp2", "n"], "left").join(classes, "rep", "left").join(partners, "rep", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
+    out = named.select("doc_id", F.col("n").alias("n_shingles"), n_links.cast("long").alias("n_links"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     if back is not None:
         out = out.join(back, "doc_id")
         least = out.groupBy("component_id").agg(F.min("old_id").alias("least"))
-        out = out.join(least, "component_id").select(F.col("old_id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+        out = out.join(least, "component_id").select(F.col("old_id").alias("doc_id"), "n_shingles", "n_links", F.col("least").alias("component_id"))
     return out

@@ -97,6 +97,17 @@ def test_groups(spark, monkeypatch, short, task):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(data)
 
 
+@pytest.mark.parametrize("task", [4_000_000, 500])
+def test_every_link_counts(spark, monkeypatch, task):
+    monkeypatch.setattr(jaccard, "TASK_SHINGLES", task)
+    data = near_copies()
+    sets = {d: set(shingles(t)) for d, t in data}
+    want = {d: sum(e != d and len(s) > 0 and len(s & u) * 100 >= 80 * len(s | u) for e, u in sets.items()) for d, s in sets.items()}
+    assert max(want.values()) > 2
+    got = jaccard.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+
+
 def test_whole_table(documents, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(documents).collect()}
     assert got == brute(rows)
