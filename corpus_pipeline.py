@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import compression, jaccard, packing, suffixes
-from seqloom.llm.common import Stored, table
+from seqloom.llm.common import Stored, table, unique_ids
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies; rows without a doc_id stay."""
-    kept = jaccard.similar_groups(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept"))
-    return docs.filter("doc_id is null").unionByName(docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi"))
+    """One row of each group of near copies, that of the smallest doc_id; rows that repeat a doc_id, or lack one (these come first), are told apart."""
+    rows, _ = unique_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("__row")), ["__row"])
+    groups = jaccard.similar_groups(rows.select("doc_id", F.col("__row.text").alias("text")))
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return rows.join(kept, "doc_id", "left_semi").select("__row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,14 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a, 1), (1, a, 2), (2, b, 3), (1, b, 4), (None, a + " end", 5), (None, a, 6), (3, "", 7), (3, "", 8)], "doc_id long, text string, part int")
+    left = corpus_pipeline.near_copies(spark, docs, SF).collect()
+    assert sorted(r.part in (3, 4) for r in left if r.text) == [False, True]
+    assert sorted(r.part for r in left if not r.text) == [7, 8]
+
+
 def test_odd(spark, odd, nothing):
     for df in (odd[0], nothing):
         docs = df
