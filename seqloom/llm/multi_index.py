@@ -192,46 +192,52 @@ def _meet(threshold: float):
     return run
 
 
+def _search(nodes: DataFrame, n: int, dim: int, threshold: float, target: float) -> Stored:
+    """Links and joining edges of n distinct vectors of one length."""
+    words = int(min(MOST_WORDS, max(2, round((n / CELL_ROWS) ** 0.5))))
+    few = nodes.select("vec").orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()  # SAMPLE rows at most
+    sample = _matrix([bytes(r.vec) for r in few])
+    h = dim // 2
+    books = (fit_codebook(sample[:, :h], words), fit_codebook(sample[:, h:], words))
+    visits = visits_needed(sample, books, threshold, target)
+
+    def homes(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(_cells(_matrix(batch.column(0).slice(at, 2000).to_pylist()), books, 1)[:, 0])], names=["cell"])
+
+    full = nodes.select("vec").mapInArrow(homes, "cell int").groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK_ROWS).collect()
+    blocks = {r.cell: -(-r.c // BLOCK_ROWS) for r in full}  # at most MOST_WORDS ** 2 cells
+    sent = nodes.select("rep", "copies", "vec").mapInArrow(_visit(books, visits, blocks), SENT_DDL)
+    found = Stored(sent.groupBy("cell", "block").applyInArrow(_meet(threshold), FOUND_DDL), "vectors-found")
+    release(nodes.sparkSession)
+    return found
+
+
 def near_groups(vectors: DataFrame, threshold: float = 0.9, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Links of each vector at cosine >= threshold and the class they join it to.
 
     Returns vec_id, n_links, component_id (the smallest vec_id reachable), kept.  Vectors that are
-    null, empty or zero, that hold null or non-finite components, or whose length isn't the most
-    frequent one (the smallest of these) link with nothing.  Equal vectors are one node that counts
+    null, empty or zero, or that hold null or non-finite components, link with nothing; vectors link
+    with those of their own length, and each length has its own codebooks and search.  Equal vectors are one node that counts
     its copies.  Rows that repeat a vec_id, or lack one, are told apart while linking and have the
     smallest vec_id of their class; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows, back = unique_ids(vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vec_col).alias("embedding")), ["embedding"])
     ready = Stored(rows.mapInArrow(_ready, "doc_id long, dim int, key binary, vec binary"), "vectors-ready")
-    dims = ready.read().filter("dim is not null").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim = dims[0].dim if dims else 0
-    fit = F.col("dim") == dim
-    classes = ready.read().filter(fit).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    fit = F.col("dim").isNotNull()
+    classes = ready.read().filter(fit).groupBy("dim", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
     nodes = Stored(classes, "vectors-nodes")
-    n = nodes.read().count()
-    counts, near = "id long, links long", None
+    sizes = nodes.read().groupBy("dim").agg(F.count("*").alias("n")).filter("n > 1 and dim > 1").orderBy("dim").collect()  # one row a length
     found = None
-    if n > 1 and dim > 1:
-        words = int(min(MOST_WORDS, max(2, round((n / CELL_ROWS) ** 0.5))))
-        few = nodes.read().select("vec").orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()  # SAMPLE rows at most
-        sample = _matrix([bytes(r.vec) for r in few])
-        h = dim // 2
-        books = (fit_codebook(sample[:, :h], words), fit_codebook(sample[:, h:], words))
-        visits = visits_needed(sample, books, threshold, target)
-
-        def homes(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(_cells(_matrix(batch.column(0).slice(at, 2000).to_pylist()), books, 1)[:, 0])], names=["cell"])
-
-        full = nodes.read().select("vec").mapInArrow(homes, "cell int").groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK_ROWS).collect()
-        blocks = {r.cell: -(-r.c // BLOCK_ROWS) for r in full}  # at most MOST_WORDS ** 2 cells
-        sent = nodes.read().select("rep", "copies", "vec").mapInArrow(_visit(books, visits, blocks), SENT_DDL)
-        found = Stored(sent.groupBy("cell", "block").applyInArrow(_meet(threshold), FOUND_DDL), "vectors-found")
-        release(spark)
-        near = connected_components(found.read().filter("a is not null").select("a", "b"))
-    linked = (found.read().filter("id is not null").select("id", "links") if found else spark.createDataFrame([], counts)).groupBy("id").agg(F.sum("links").alias("links"))
+    for r in sizes:
+        some = _search(nodes.read().filter(F.col("dim") == r.dim), r.n, r.dim, threshold, target).read()
+        found = some if found is None else found.unionByName(some)
+    counts, near = "id long, links long", None
+    if found is not None:
+        near = connected_components(found.filter("a is not null").select("a", "b"))
+    linked = (found.filter("id is not null").select("id", "links") if found is not None else spark.createDataFrame([], counts)).groupBy("id").agg(F.sum("links").alias("links"))
     near = near if near is not None else spark.createDataFrame([], "node long, component long")
     named = (
         nodes.read().select("key", "rep", "copies")

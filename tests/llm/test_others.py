@@ -135,6 +135,12 @@ def test_odd_vectors(spark):
     assert multi_index.near_groups(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_of_every_length_link(spark):
+    data = [(0, [1.0, 2.0, 3.0]), (1, [2.0, 4.0, 6.0]), (2, [1.0, 2.0, 3.1]), (3, [1.0, 0.0]), (4, [1.0, 0.01]), (5, [0.0, 1.0]), (6, [4.0]), (7, [5.0]), (8, [-5.0])]
+    got = multi_index.near_groups(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 # ---------------------------------------------------------------- licences
 
 
