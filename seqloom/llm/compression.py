@@ -7,7 +7,8 @@ calibration on labelled rows that the dictionaries weren't made from.
 Dictionaries are made by contrast: short byte strings that are frequent in one class and rare in the
 other are found by document frequency, and the stretches of text that they cover, most frequent last,
 are the class's dictionary.  (zstandard's own trainer picks what is frequent in a class, and that is
-mostly the language itself, so both dictionaries are alike.)
+mostly the language itself, so both dictionaries are alike.)  How long the strings and windows are may
+be left to the labels: of several settings the one whose calibration fits best is taken.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from math import log1p
 
@@ -40,15 +42,19 @@ class Settings:
     lower: bool  # ignore the case of A-Z
     window: int  # bytes
     grams: tuple[int, ...]  # bytes of the strings that are contrasted, 8 at most
-    least: int  # texts that a string must stand in
-    sigmas: float  # standard errors between its shares of the two classes
-    times: float  # ratio of the shares
+    times: float  # ratio of a telling string's shares of the two classes
+    evidence: float = 30.0  # its log-likelihood ratio, twice; millions of strings are tried
     shifts: tuple[int, ...] = (0,)  # where the first whole window starts; each shift cuts the text anew
+    saving: bool = False  # whether the difference to the plain size counts too
     dictionary: int = 16_384  # bytes
 
 
-TOXICITY = Settings(lower=True, window=256, grams=(4,), least=4, sigmas=4.0, times=4.0, shifts=(0, 128))
-QUALITY = Settings(lower=False, window=512, grams=(5,), least=4, sigmas=3.5, times=8.0)
+#: Insults with many endings call for short strings, few and short labelled texts for longer ones.
+TOXICITY = (
+    Settings(lower=True, window=256, grams=(4,), times=3.0, shifts=(0, 128)),
+    Settings(lower=True, window=128, grams=(5, 7), times=3.0, shifts=(0, 64)),
+)
+QUALITY = (Settings(lower=False, window=512, grams=(5,), times=8.0, saving=True),)
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -72,17 +78,24 @@ def _distinct(data: bytes, n: int, step: int = 1 << 20) -> np.ndarray:
 
 
 def contrast(own: tuple, texts: int, other: tuple, others: int, how: Settings) -> np.ndarray:
-    """Strings that stand in more of `own` than of `other`: significantly, and several times as many.
+    """Strings that stand in more of `own` than of `other`: several times as many, and not by chance.
 
-    Both are strings with the number of texts that hold them, of so many texts.
+    Both are strings with the number of texts that hold them, of so many texts.  Chance is judged by the
+    likelihood ratio of the texts with and without a string, which holds for small counts too.
     """
     (u, c), (v, d) = own, other
+    if not texts or not others:
+        return u[:0]
     at = np.searchsorted(v, u)
     at[at == len(v)] = 0
     there = np.where(v[at] == u, d[at], 0) if len(v) else np.zeros(len(u))
-    p, q = c / max(1, texts), there / max(1, others)
-    spread = np.sqrt(p * (1 - p) / max(1, texts) + q * (1 - q) / max(1, others) + 1e-12)
-    return u[(c >= how.least) & (p - q > how.sigmas * spread) & (p > how.times * (q + 0.5 / max(1, others)))]
+    share = (c + there) / (texts + others)
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0)
+
+    ratio = part(c, share * texts) + part(there, share * others) + part(texts - c, (1 - share) * texts) + part(others - there, (1 - share) * others)
+    return u[(c * others > how.times * there * texts) & (2 * ratio > how.evidence)]
 
 
 def stretches(t: bytes, telling: dict[int, np.ndarray], longest: int = 24, step: int = 1 << 18) -> set[bytes]:
@@ -127,7 +140,7 @@ class Sizes:
     def __init__(self, first: bytes, second: bytes, how: Settings):
         # equal lengths: a match costs the same in either
         pad = max(len(first), len(second), 8)
-        self.window, self.shifts = how.window, how.shifts
+        self.window, self.shifts, self.saving = how.window, how.shifts, how.saving
         self.first, self.second = (self._compressor(d.rjust(pad, b"\0")) for d in (first, second))
 
     @staticmethod
@@ -156,10 +169,11 @@ class Sizes:
         total, n, net = sum(a) + sum(b), len(a), sum(b) - sum(a)
         plus, minus = sum(g for g in gain if g > 2), sum(-g for g in gain if g < -2)
         some, many = sum(g > 4 for g in gain), sum(g > 8 for g in gain)
+        plain = len(data) + 16
         return [
             net / total, net / (n + 2), plus / (n + 1), minus / (n + 1), some / (n + 1), many / (n + 1),
             log1p(max(0, max(gain))), log1p(max(0, -min(gain))), log1p(plus), log1p(minus), log1p(many),
-            sum(map(min, a, b)) / (len(data) + 16), log1p(n), log1p(len(data)),
+            *([(plain - sum(map(min, a, b))) / plain] if self.saving else []),
         ]
 
 
@@ -185,6 +199,11 @@ class Calibration:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.concatenate([np.ones((len(z), 1)), z], axis=1)
 
+    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Mean logarithmic loss."""
+        p = self.score(x)
+        return float(-np.log(np.where(y == 1, p, 1 - p)).mean())
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.weights, -30, 30)))
 
@@ -296,8 +315,12 @@ def _measure(dictionaries: list[tuple[bytes, bytes]], how: Settings):
     return run
 
 
-def _fit(sample: DataFrame, how: Settings) -> CompressionClassifier:
-    """Learn from a stored sample (doc_id, y, fold, data).
+#: Texts that a string must stand in to be looked at; the evidence asks for more.
+FEW = 4
+
+
+def _fit(sample: DataFrame, how: Settings) -> tuple[float, CompressionClassifier]:
+    """Learn from a stored sample (doc_id, y, fold, data); the model and its loss on the sample.
 
     Whole texts are read on the executors; the driver gets counts of strings and stretches, and each
     text's features.  Calibration sees a text through dictionaries made without it: texts fall into
@@ -306,11 +329,11 @@ def _fit(sample: DataFrame, how: Settings) -> CompressionClassifier:
     """
     texts = {(r.y, r.fold): r.n for r in sample.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}  # SLOTS rows
     if min(sum(y == k for y, _ in texts) for k in (0, 1)) < 2:
-        return CompressionClassifier(how)
+        return 0.0, CompressionClassifier(how)
     counted = sample.select("y", "fold", "data").mapInArrow(_count(how.grams), COUNTS_DDL).groupBy("n", "gram").agg(*(F.sum(f"c{k}").cast("int").alias(f"c{k}") for k in range(SLOTS)))
     # strings in fewer texts tell of neither class, however folds are chosen
     total = [sum((F.col(f"c{y * FOLDS + i}") for i in range(FOLDS)), F.lit(0)) for y in (0, 1)]
-    got = counted.filter((total[0] >= how.least) | (total[1] >= how.least)).toArrow()
+    got = counted.filter((total[0] >= FEW) | (total[1] >= FEW)).toArrow()
     sizes, grams = got["n"].to_numpy(), got["gram"].to_numpy().view(np.uint64)
     counts = np.stack([got[f"c{k}"].to_numpy() for k in range(SLOTS)])
     telling = []
@@ -330,11 +353,17 @@ def _fit(sample: DataFrame, how: Settings) -> CompressionClassifier:
         found[r.made][r.y][bytes(r.stretch)] = r.texts
     dictionaries = [(class_dictionary(f[1], how.dictionary), class_dictionary(f[0], how.dictionary)) for f in found]
     rows = sorted((r.doc_id, r.y, r.x) for r in sample.mapInArrow(_measure(dictionaries, how), "doc_id long, y int, x array<double>").collect())
-    return CompressionClassifier(how, dictionaries[FOLDS], Calibration(np.array([x for _, _, x in rows]), np.array([y for _, y, _ in rows], float)))
+    x, y = np.array([x for _, _, x in rows]), np.array([y for _, y, _ in rows], float)
+    calibration = Calibration(x, y)
+    return calibration.loss(x, y), CompressionClassifier(how, dictionaries[FOLDS], calibration)
+
 
+def learn(docs: DataFrame, labels: DataFrame, label: str, choices: tuple[Settings, ...], rows: int = SAMPLE_ROWS) -> CompressionClassifier:
+    """Fit on the whole texts of at most `rows` rows of either label, chosen by a hash of doc_id, none of them held out.
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, how: Settings, rows: int = SAMPLE_ROWS) -> CompressionClassifier:
-    """Fit on the whole texts of at most `rows` rows of either label, chosen by a hash of doc_id, none of them held out."""
+    Of several settings (all fold case, or none) the one with the least loss is taken, each text being measured
+    through dictionaries made without it; of equal ones the first.
+    """
     tune(docs.sparkSession)
     picked = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -344,10 +373,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, how: Settings, rows: i
     ids = [r for y in (0, 1) for r in picked.filter(F.col("y") == y).orderBy(*order).limit(rows).collect()]  # 2 * rows numbers at most
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id long, y int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().cast("binary").alias("data"))
-    sample = Stored(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "data").mapInArrow(_prepare(how.lower), SAMPLE_DDL), "labelled")
-    model = _fit(sample.read(), how)
+    sample = Stored(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "data").mapInArrow(_prepare(choices[0].lower), SAMPLE_DDL), "labelled")
+    with ThreadPoolExecutor(len(choices)) as side_by_side:
+        models = list(side_by_side.map(lambda how: _fit(sample.read(), how), choices))
     sample.drop()
-    return model
+    return min(models, key=lambda m: m[0])[1]
 
 
 def _scores(model: CompressionClassifier, batch: pa.RecordBatch, score) -> np.ndarray:
@@ -377,7 +407,10 @@ def classify(docs: DataFrame, model: CompressionClassifier, threshold: float) ->
 
 
 def passing(docs: DataFrame, model: CompressionClassifier, keep) -> DataFrame:
-    """The rows, all columns unchanged, whose scores `keep` (an array in, a mask out) lets pass."""
+    """The rows, all columns unchanged, whose scores `keep` (an array in, a mask out) lets pass.
+
+    A null or empty text is scored as one empty window; a table without rows gives none.
+    """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +419,8 @@ def passing(docs: DataFrame, model: CompressionClassifier, keep) -> DataFrame:
             kept = batch.filter(pa.array(keep(_scores(model, batch, score)), pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(kept.schema)[:-1]))
 
-    return docs.select("*", as_text().alias("__scored")).mapInArrow(run, docs.schema)
+    free = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any name there is
+    return docs.select("*", as_text().alias(free)).mapInArrow(run, docs.schema)
 
 
 #: A document is toxic, or good, from this score on.
@@ -404,8 +438,14 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, all columns unchanged, whose texts aren't toxic.
+
+    A null or empty text is scored as one empty window; without labels of both classes all rows stay;
+    rows that repeat a doc_id, or lack one, are judged each; an empty table gives no rows.
+    """
     return passing(docs, learn(docs, labels, "toxic", TOXICITY), lambda scores: scores < TOXIC)
 
 
 def only_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, all columns unchanged, whose texts are good; odd rows as in `without_toxic`."""
     return passing(docs, learn(docs, labels, "quality", QUALITY), lambda scores: scores >= GOOD)

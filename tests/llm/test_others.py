@@ -231,6 +231,26 @@ def test_labels_due_to_late_passages_are_learnt(spark):
     assert all(x.predicted == (x.doc_id % 3 == 0) for x in got)
 
 
+@pytest.mark.parametrize("name,label,least", [("quality", "quality", 0.99), ("toxicity", "toxic", 0.92)])
+def test_held_out_ranking(spark, name, label, least):
+    """Held-out rows of a table with few labels (some 300 toxic rows are learnt): area under the curve."""
+    folder = SF.replace("0.001", "0.1")
+    scored = getattr(compression, name)(table(spark, folder, "documents"), table(spark, folder, "labels")).filter("held_out")
+    rows = scored.join(table(spark, folder, "labels").select("doc_id", label).dropna(), "doc_id").select("score", label).collect()
+    s, y = np.array([r.score for r in rows]), np.array([r[label] for r in rows])
+    above, equal = (s[y == 1][:, None] > s[y == 0]).mean(), (s[y == 1][:, None] == s[y == 0]).mean()
+    assert above + equal / 2 >= least
+
+
+def test_contrast_tells_chance_from_class():
+    how = compression.TOXICITY[0]
+    ids = np.arange(4, dtype=np.uint64)
+    # 0: frequent in own only; 1: as frequent in both; 2: too few; 3: none in other, yet within chance
+    own, other = (ids, np.array([40, 200, 3, 4])), (ids[:2], np.array([10, 1600]))
+    assert compression.contrast(own, 300, other, 2400, how).tolist() == [0]
+    assert compression.contrast(own, 300, (ids[:0], np.zeros(0, int)), 0, how).tolist() == []
+
+
 @pytest.mark.parametrize("step", [1, 7, 1 << 18])
 def test_stretches_do_not_depend_on_steps(step):
     data = ("the blargwit and snotgoblin of " * 5).encode()
@@ -257,3 +277,5 @@ def test_classifiers_odd(spark, odd, nothing):
     assert compression.classify(df, model, 0.5).count() == len(data)
     kept = compression.passing(df, model, lambda s: s < 2)
     assert kept.columns == df.columns and kept.count() == len(data)
+    clash = compression.passing(df.withColumnRenamed("score", "__scored"), model, lambda s: s < 2)
+    assert clash.columns[6] == "__scored" and {r[6] for r in clash.collect()} == {0.5}

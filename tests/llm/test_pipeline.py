@@ -22,7 +22,7 @@ def test_stages(spark, documents):
     for name, label, how, keep in (("toxicity", "toxic", compression.TOXICITY, lambda s: s < 0.7), ("quality", "quality", compression.QUALITY, lambda s: s >= 0.5)):
         before, after = seen[name]
         model = compression.learn(spark.createDataFrame(list(before.values()), documents.schema), labels, label, how)
-        scores = model.scorer()([compression.fold(r.text, how.lower) for r in before.values()])
+        scores = model.scorer()([compression.fold(r.text, how[0].lower) for r in before.values()])
         assert set(after) == {d for d, s in zip(before, scores) if keep(s)}
     before, after = seen["near_copies"]
     classes = brute_classes([(d, r.text) for d, r in before.items()])
