@@ -122,93 +122,93 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = 40_000, fan_in: int = 8, slack: int = 8) -> DataFrame:
-    """Place pieces (doc_id, piece, length) into sequences of at most `capacity` tokens.
+ROUND = pa.schema([("grp", pa.int64()), ("used", pa.int64()), ("members", pa.binary()), ("done", pa.bool_())])
+ROUND_DDL = "grp long, used long, members binary, done boolean"
+
+
+def _pack_group(capacity: int, fan_in: int, slack: int, rounds_left: int):
+    """One group of one round: its items (used, members) in bins, each done or passed on as an item."""
+
+    def run(table: pa.Table) -> pa.Table:
+        used, members, grp = table["used"].to_numpy(), table["members"].to_pylist(), table["grp"][0].as_py()
+        bins = best_fit(used, capacity)
+        full = np.array([int(used[items].sum()) for items in bins])
+        done = np.ones(len(bins), bool)
+        if rounds_left:
+            open_ = np.nonzero(capacity - full > slack)[0]
+            open_ = open_[np.argsort(full[open_], kind="stable")]
+            done[open_[: 1 + fan_in * rounds_left]] = False
+        blobs = [b"".join(members[i] for i in items) for items in bins]
+        return pa.table([pa.array(np.full(len(bins), grp // fan_in)), pa.array(full), pa.array(blobs, pa.binary()), pa.array(done)], schema=ROUND)
+
+    return run
+
+
+def _places(items: DataFrame, n: int, capacity: int, group_items: int, fan_in: int, slack: int) -> DataFrame:
+    """(row, sequence_id, offset) of n stored items (row, length); rows differ.
 
-    Each group packs its items by best fit and emits bins with at most `slack` tokens of room; the
-    other bins go on as single items, `fan_in` groups joining into one, until one group is left.
-    Returns doc_id, piece, sequence_id, offset.  Underfull bins are few in each group, so a later
-    group holds no more items than the first.  An empty table gives no rows.
+    Each group packs its items by best fit.  Best fit leaves one bin at most that is half empty, and
+    two fuller ones never join; so all that can be gained by joining groups is to put the half-empty
+    bin of each elsewhere.  A group therefore passes on its emptiest bin and as many of the next as
+    half-empty bins can still come by on the way up, `fan_in` a round; the other bins are done.  A bin
+    that is done could only have taken what an emptier one that went on can take as well, so nothing
+    is lost, and a later group holds fan_in * (1 + fan_in * rounds) items at most.
     """
-    spark = pieces.sparkSession
-    n = pieces.count()
-    groups = max(1, -(-n // group_items))
-    #: members: little-endian (doc_id, piece, length, row) of a bin, in the order they stand in it
-    start = pieces.select(
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int").alias("grp"),
-        F.col("length").cast("long").alias("used"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("piece").cast("long").alias("piece"),
-        F.lit(None).cast("binary").alias("members"),
-    )
-    schema = pa.schema([("grp", pa.int32()), ("used", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("members", pa.binary()), ("done", pa.bool_())])
-    ddl = "grp int, used long, doc_id long, piece long, members binary, done boolean"
-
-    def packer(last: bool):
-        def run(table: pa.Table) -> pa.Table:
-            used = table["used"].to_numpy()
-            doc, piece, members = table["doc_id"].to_pylist(), table["piece"].to_pylist(), table["members"].to_pylist()
-            grp = table["grp"][0].as_py()
-            cols = [[], [], []]
-            for items in best_fit(used, capacity):
-                # a null doc_id is kept in the fourth number
-                blob = b"".join(
-                    members[i] if members[i] is not None else np.array([doc[i] or 0, piece[i], used[i], doc[i] is None], "<i8").tobytes() for i in items
-                )
-                full = int(used[items].sum())
-                for c, x in zip(cols, (full, blob, last or capacity - full <= slack)):
-                    c.append(x)
-            k = len(cols[0])
-            nothing = pa.array([None] * k, pa.int64())
-            return pa.table([pa.array([grp // fan_in] * k, pa.int32()), pa.array(cols[0], pa.int64()), nothing, nothing, pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.bool_())], schema=schema)
-
-        return run
-
-    done, todo = [], start
-    while True:
-        out = Stored(todo.groupBy("grp").applyInArrow(packer(groups == 1), ddl), "pack-round").read()
-        done.append(out.filter("done").select("members"))
-        if groups == 1:
-            break
-        todo = out.filter("not done").drop("done")
-        groups = -(-groups // fan_in)
-
-    placed = pa.schema([("sequence_id", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("offset", pa.int64())])
+    groups = max(1, -(-n * 11 // (10 * group_items)))  # dealt by hash: a tenth to spare
+    rounds = 0
+    while fan_in**rounds < groups:
+        rounds += 1
+    todo = items.select(
+        F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"), F.col("length").cast("long").alias("used"),
+        # members: the (row, length) of a bin's items, big-endian, in the order they stand in it
+        F.unhex(F.concat(F.lpad(F.hex("row"), 16, "0"), F.lpad(F.hex(F.col("length").cast("long")), 16, "0"))).alias("members"),
+    )
+    steps = []
+    for left in range(rounds, -1, -1):
+        steps.append(Stored(todo.groupBy("grp").applyInArrow(_pack_group(capacity, fan_in, slack, left), ROUND_DDL), "pack-round"))
+        todo = steps[-1].read().filter("not done").select("grp", "used", "members")
+    bins = steps[0].read()
+    for x in steps[1:]:
+        bins = bins.unionByName(x.read())
+    bins = Stored(bins.filter("done").select(F.monotonically_increasing_id().alias("sequence_id"), "members"), "pack-bins").read()
+    for x in steps:
+        x.drop()
+    placed = pa.schema([("row", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column(1).to_pylist()
             if not blobs:
                 continue
-            m = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 4)
-            counts = np.array([len(b) // 32 for b in blobs])
+            m = np.frombuffer(b"".join(blobs), ">i8").astype(np.int64).reshape(-1, 2)
+            counts = np.array([len(b) // 16 for b in blobs])
             first = np.repeat(np.cumsum(counts) - counts, counts)
-            before = np.cumsum(m[:, 2]) - m[:, 2]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column(0).to_numpy(), counts)),
-                    pa.array(m[:, 0], mask=m[:, 3] == 1),
-                    pa.array(m[:, 1].astype(np.int32)),
-                    pa.array(before - before[first]),
-                ],
-                schema=placed,
-            )
-
-    bins = done[0]
-    for x in done[1:]:
-        bins = bins.unionByName(x)
-    bins = Stored(bins.select(F.monotonically_increasing_id().alias("sequence_id"), "members"), "pack-bins").read()
-    return bins.mapInArrow(spread, "sequence_id long, doc_id long, piece int, offset long")
+            before = np.cumsum(m[:, 1]) - m[:, 1]
+            yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(before - before[first])], schema=placed)
+
+    return bins.mapInArrow(spread, "row long, sequence_id long, offset long")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = 40_000, fan_in: int = 8, slack: int = 8) -> DataFrame:
+    """Place pieces (doc_id, piece, length, ...) into sequences of at most `capacity` tokens.
+
+    Returns the pieces' columns, sequence_id and offset.  Groups of about `group_items` pack their items
+    by best fit and emit full bins, those with at most `slack` tokens of room among them; a few underfull
+    ones of each go up a tree, `fan_in` groups joining into one, as items of the next round (`_places`).
+    A length must not exceed the capacity.  Pieces that repeat, or lack a doc_id, are told apart by a row
+    number; an empty table gives no rows.
+    """
+    rows = Stored(pieces.select("*", F.monotonically_increasing_id().alias("row")), "pack-pieces").read()
+    places = _places(rows.select("row", "length"), rows.count(), capacity, group_items, fan_in, slack)
+    return rows.join(places, "row").select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """Tokenise, cut and pack whole documents; one row per piece with its place in its sequence.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Rows that repeat a doc_id
-    are told apart by a row number, so each keeps a place of its own.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null or empty text is one
+    piece of the one id `end_id`; only a document of more than `capacity` ids is cut, however long it
+    is; rows that repeat a doc_id, or lack one, have pieces and places of their own; an empty table
+    gives no rows; extra columns are ignored.
     """
-    pieces = Stored(tokenize(docs, vocabulary, end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pack-pieces").read()
-    # the row number stands for (doc_id, piece) while packing
-    items = pieces.select(F.col("row").alias("doc_id"), F.lit(0).alias("piece"), "length")
-    places = pack(items, capacity).select(F.col("doc_id").alias("row"), "sequence_id", "offset")
-    return pieces.join(places, "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(tokenize(docs, vocabulary, end_id, capacity), capacity)

@@ -96,6 +96,11 @@ def test_packs(documents, rows):
     assert bins <= 1.02 * tokens / 4096 + 1
 
 
+def test_sequences_of_a_table(documents):
+    wider = documents.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert packing.pack_documents(wider).select("sequence_id").distinct().count() == 221
+
+
 def test_packs_in_rounds(spark):
     r = np.random.default_rng(1)
     items = [(i, 0, int(n)) for i, n in enumerate(r.integers(1, 1500, 3000))]
@@ -114,6 +119,40 @@ def test_packs_in_rounds(spark):
     assert len(bins) <= 1.03 * sum(length.values()) / 4096 + 1
 
 
+def test_groups_stay_bounded(spark, monkeypatch):
+    """Items that can't join: no later group may grow with the input."""
+    sizes, inner = [], packing._pack_group
+
+    def watched(capacity, fan_in, slack, left):
+        sizes.append((left, fan_in))
+        return inner(capacity, fan_in, slack, left)
+
+    monkeypatch.setattr(packing, "_pack_group", watched)
+    seen, stored = [], packing.Stored
+
+    class Watched(stored):
+        def __init__(self, df, tag, codec="zstd"):
+            super().__init__(df, tag, codec)
+            if tag == "pack-round":
+                seen.append(self.read().filter("not done").groupBy("grp").count().agg({"count": "max"}).first()[0] or 0)
+
+    monkeypatch.setattr(packing, "Stored", Watched)
+    df = spark.range(200_000).selectExpr("id as doc_id", "0 as piece", "if(id = 7, 100, 3000) as length")
+    got = packing.pack(df, group_items=5000, fan_in=4)
+    assert got.select("sequence_id").distinct().count() == 199_999
+    rounds = max(left for left, _ in sizes)
+    assert len(seen) == rounds + 1 and max(seen) <= 4 * (1 + 4 * rounds) < 5000
+    dealt = spark.range(200_000).selectExpr("pmod(xxhash64(monotonically_increasing_id()), 44) as g")
+    assert dealt.groupBy("g").count().agg({"count": "max"}).first()[0] <= 5000
+
+
+def test_rounds_lose_nothing(spark):
+    """Small items alone in their groups find room in the bins that go up."""
+    df = spark.range(4000).selectExpr("id as doc_id", "0 as piece", "if(id % 400 = 0, 1900, 2100 + id % 90) as length")
+    # 10 items of 1900 and 3990 of over 2048: no two of the latter join, and each of the former joins one of them
+    assert packing.pack(df, group_items=50, fan_in=2).select("sequence_id").distinct().count() == 3990
+
+
 def test_packs_odd(odd, nothing):
     df, data = odd
     check_packs(packing.pack_documents(df).collect(), data)
