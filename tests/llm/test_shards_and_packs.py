@@ -1,10 +1,12 @@
 """Sharding and packing: every row placed once, within capacity, ids as the library gives them."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -14,17 +16,64 @@ from seqloom.llm import packing, sharding
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def one_by_one(sizes, bins, capacity):
+    """Best fit decreasing, item by item: the bin of each, or None."""
+    left, out = dict.fromkeys(bins, capacity), []
+    for size in sizes:
+        fit = min(((room, b) for b, room in left.items() if room >= size), default=None)
+        if fit is None:
+            return None
+        left[fit[1]] -= size
+        out.append(fit[1])
+    return out
+
+
+@given(st.lists(st.integers(1, 40), max_size=60), st.integers(1, 8), st.integers(0, 30))
+@settings(max_examples=150, deadline=None)
+def test_best_fit_decreasing(sizes, bins, more):
+    sizes = sorted(sizes, reverse=True)
+    capacity = max([1, *sizes]) + more
+    runs = sharding.best_fit_decreasing(sorted(Counter(sizes).items(), reverse=True), list(range(bins)), capacity)
+    want = one_by_one(sizes, range(bins), capacity)
+    assert (runs is None) == (want is None)
+    if want is not None:
+        assert [b for _, n, b in runs for _ in range(n)] == want and [s for s, n, _ in runs for _ in range(n)] == sizes
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 9)), unique=True, max_size=80), st.randoms())
+@settings(max_examples=100, deadline=None)
+def test_capacity_tree(keys, r):
+    tree, held = sharding.CapacityTree([], 0), []
+    for k in keys:
+        tree.insert(k)
+        held.append(k)
+        if held and r.random() < 0.4:
+            gone = held.pop(r.randrange(len(held)))
+            tree.remove(gone)
+        for size in (0, 7, 31):
+            assert tree.tightest(size) == min((x for x in held if x[0] >= size), default=None)
+
+    def height(t):
+        if t is None:
+            return 0
+        a, b = height(t[0]), height(t[2])
+        assert abs(a - b) <= 1 and t[3] == 1 + max(a, b)
+        return t[3]
+
+    height(tree.root)
+
+
 @given(st.lists(st.integers(1, 5000), max_size=60), st.integers(1, 8))
 @settings(max_examples=60, deadline=None)
-def test_pack_items(sizes, shards):
-    sizes = sorted(sizes, reverse=True)
-    where = sharding.pack_items(sizes, shards)
-    assert len(where) == len(sizes) and all(0 <= s < shards for s in where)
+def test_pack_classes(sizes, shards):
+    runs = sharding.pack_classes(sorted(Counter(sizes).items(), reverse=True), shards)
+    assert Counter({s: 0 for s in sizes}) + Counter(s for s, n, _ in runs for _ in range(n)) == Counter(sizes)
     load = Counter()
-    for size, s in zip(sizes, where):
-        load[s] += size
-    if sizes:  # no shard is more than the largest item above an even share
-        assert max(load.values()) <= -(-sum(sizes) // shards) + sizes[0]
+    for size, n, b in runs:
+        assert 0 <= b < shards
+        load[b] += size * n
+    if sizes:
+        assert max(load.values()) <= 2 * (-(-sum(sizes) // shards) + max(sizes))
 
 
 def check_shards(got, data):
@@ -50,8 +99,27 @@ def test_shards(documents, rows):
     assert max(load.values()) - min(load.values()) <= biggest
 
 
-def test_shards_lumped(documents, rows):
-    check_shards(sharding.shard(documents, lumps=64, slot_rows=3).collect(), rows)
+@pytest.mark.parametrize("how", [{}, {"few_sizes": 0, "hot": 3, "slot_rows": 3}])
+def test_small_groups_are_packed_one_by_one(spark, how):
+    """100,000 small groups, a fifth of them of one size, and a hot text: each shard as best fit has it."""
+    df = spark.range(100_000).selectExpr("id as doc_id", "if(id % 5 = 0, lpad(string(id), 20, '0'), repeat(string(id), int(1 + id % 7))) as text")
+    df = df.unionByName(spark.range(100_000, 130_000).selectExpr("id as doc_id", "'hot' as text"))
+    got = sharding.shard(df, **how).collect()
+    text = {r.doc_id: r.text for r in df.collect()}
+    groups = Counter()
+    for d, t in text.items():
+        groups[t] += len(t) + 1
+    order = sorted(groups, key=lambda t: (-groups[t], hashlib.md5(t.encode()).digest()))
+    sizes = [groups[t] for t in order]
+    total, want = sum(sizes), None
+    assert sizes[0] * 16 < total
+    more = 0
+    while want is None:
+        want = one_by_one(sizes, range(16), -(-total // 16) + more)
+        more = 2 * more + 1
+    shard_of = dict(zip(order, want))
+    assert len(got) == len(text) and all(r.shard == shard_of[text[r.doc_id]] for r in got)
+    check_shards(got, list(text.items()))
 
 
 def test_shards_odd(odd, nothing):
