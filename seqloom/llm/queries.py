@@ -56,5 +56,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only licence scans can be said in SQL; the others are tested against brute force."""
-    return {"op2_licenses": licenses.scan_sql()}
+    """Where SQL can say it; the others are tested against brute force."""
+    return {"op2_licenses": licenses.scan_sql(), "op10_sharding": sharding.shard_sql()}
