@@ -21,8 +21,8 @@ from .components import EDGE_DDL, Forest, connected_components
 
 #: Rows the codebooks are fitted on at most, and neighbours that the number of visits is set by.
 SAMPLE, PROBES = 20_000, 2_000
-#: Vectors a cell holds on average, codewords of a half at most, and vectors in a block of a cell.
-CELL_ROWS, MOST_WORDS, BLOCK_ROWS = 64, 1024, 4096
+#: Vectors a cell holds on average, codewords of a half at most, and rows that stand in, or visit, one block of a cell.
+CELL_ROWS, MOST_WORDS, BLOCK_ROWS, VISIT_ROWS = 64, 4096, 4096, 16_384
 TARGET = 0.97
 
 
@@ -77,8 +77,9 @@ def visits_needed(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], thre
     for p, q in ((x, y), (y, x)):
         d1, d2 = nearest(p[:, :h], books[0]), nearest(p[:, h:], books[1])
         c1, c2 = nearest(q[:, :h], books[0]).argmin(1), nearest(q[:, h:], books[1]).argmin(1)
-        mine = (d1[np.arange(len(p)), c1] + d2[np.arange(len(p)), c2])[:, None, None]
-        rank.append(np.concatenate([((d1[i : i + 50, :, None] + d2[i : i + 50, None, :]) < mine[i : i + 50]).sum((1, 2)) for i in range(0, len(p), 50)]))
+        mine = d1[np.arange(len(p)), c1] + d2[np.arange(len(p)), c2]
+        d2.sort(1)
+        rank.append(np.array([np.searchsorted(d2[i], mine[i] - d1[i]).sum() for i in range(len(p))]))
     return int(np.quantile(np.minimum(*rank), target, method="higher")) + 1
 
 
@@ -107,8 +108,8 @@ def _ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], schema=READY)
 
 
-SENT = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("id", pa.int64()), ("copies", pa.int64()), ("home", pa.int32()), ("stands", pa.bool_()), ("vec", pa.binary()), ("visits", pa.binary())])
-SENT_DDL = "cell int, block int, id long, copies long, home int, stands boolean, vec binary, visits binary"
+SENT_DDL = "cell int, block int, part int, id long, copies long, home int, stands boolean, asks boolean, vec binary, visits binary"
+SENT = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SENT_DDL.split(", "))])
 
 
 def _matrix(blobs: list[bytes]) -> np.ndarray:
@@ -120,23 +121,32 @@ def _cells(x: np.ndarray, books, visits: int) -> np.ndarray:
     return traverse(nearest(x[:, :h], books[0]), nearest(x[:, h:], books[1]), visits)
 
 
-def _visit(books, visits: int, blocks: dict[int, int]):
-    """A row for each cell that a vector visits; in cells of several blocks, one for each block."""
+def _visit(books, visits: int, split: dict[int, tuple[int, int]]):
+    """A row for each cell that a vector visits.
+
+    A cell that many stand in or visit is split into blocks of what stands there and parts of what
+    visits it, and every part meets every block: a vector asks in its own part, in all blocks, and
+    stands in its own block, in all parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                blobs = part.column(2).to_pylist()
+                piece = batch.slice(at, 500)
+                blobs = piece.column(2).to_pylist()
                 cells = _cells(_matrix(blobs), books, visits)
                 out = [[] for _ in SENT]
-                for i, copies, blob, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), blobs, cells):
-                    home = int(own[0])
+                for i, copies, blob, own in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), blobs, cells):
+                    home, by = int(own[0]), i * 2654435761 % 4294967296
                     for cell in own.tolist():
-                        n = blocks.get(cell, 1)
-                        for block in range(n):
-                            stands = cell == home and block == i * 2654435761 % 4294967296 % n
-                            for col, x in zip(out, (cell, block, i, copies, home, stands, blob, own.tobytes() if stands else None)):
+                        blocks, parts = split.get(cell, (1, 1))
+                        mine, turn = by % blocks, by // blocks % parts
+                        places = {(block, turn) for block in range(blocks)}
+                        if cell == home:
+                            places |= {(mine, part) for part in range(parts)}
+                        for block, part in places:
+                            stands = cell == home and block == mine
+                            for col, x in zip(out, (cell, block, part, i, copies, home, stands, part == turn, blob, own.tobytes() if stands else None)):
                                 col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, SENT)], schema=SENT)
 
@@ -148,7 +158,7 @@ FOUND_DDL = "id long, links long, a long, b long"
 
 
 def _meet(threshold: float):
-    """Verify one block of a cell: each vector's links there, and edges that join the linked ones.
+    """Verify one part of a cell's visitors against one block: each vector's links, and edges that join the linked ones.
 
     A visitor counts what it finds.  What it finds counts the visitor too, unless it visits the
     visitor's own cell and so counts it there.
@@ -165,8 +175,9 @@ def _meet(threshold: float):
         base = _matrix([blobs[i] for i in here])
         routes = np.stack([np.frombuffer(visited[i], np.int32) for i in here])
         links, tree, edges = np.zeros(len(ids), np.int64), Forest(len(ids)), []
-        for s in range(0, len(ids), 1024):
-            mine = np.arange(s, min(s + 1024, len(ids)))
+        asking = np.nonzero(table["asks"].to_numpy())[0]
+        for s in range(0, len(asking), 1024):
+            mine = asking[s : s + 1024]
             p, r = np.nonzero(_matrix([blobs[i] for i in mine]) @ base.T >= threshold)
             p, q = mine[p], here[r]
             other = ids[p] != ids[q]
@@ -201,19 +212,34 @@ def _search(nodes: DataFrame, n: int, dim: int, threshold: float, target: float)
     books = (fit_codebook(sample[:, :h], words), fit_codebook(sample[:, h:], words))
     visits = visits_needed(sample, books, threshold, target)
 
-    def homes(batches):
+    def crowd(batches):
+        """Of every cell: how many vectors of a batch stand in it, and how many visit it."""
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(_cells(_matrix(batch.column(0).slice(at, 2000).to_pylist()), books, 1)[:, 0])], names=["cell"])
-
-    full = nodes.select("vec").mapInArrow(homes, "cell int").groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK_ROWS).collect()
-    blocks = {r.cell: -(-r.c // BLOCK_ROWS) for r in full}  # at most MOST_WORDS ** 2 cells
-    sent = nodes.select("rep", "copies", "vec").mapInArrow(_visit(books, visits, blocks), SENT_DDL)
-    found = Stored(sent.groupBy("cell", "block").applyInArrow(_meet(threshold), FOUND_DDL), "vectors-found")
+                cells = _cells(_matrix(batch.column(0).slice(at, 2000).to_pylist()), books, visits)
+                seen, n = np.unique(cells, return_counts=True)
+                home = np.bincount(np.searchsorted(seen, cells[:, 0]), minlength=len(seen))
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(home), pa.array(n)], names=["cell", "stand", "visit"])
+
+    crowds = nodes.select("vec").mapInArrow(crowd, "cell int, stand long, visit long").groupBy("cell").agg(F.sum("stand").alias("stand"), F.sum("visit").alias("visit"))
+    full = crowds.filter((F.col("stand") > BLOCK_ROWS) | (F.col("visit") > VISIT_ROWS)).collect()  # at most words ** 2 cells
+    split = {r.cell: (max(1, -(-r.stand // BLOCK_ROWS)), -(-r.visit // VISIT_ROWS)) for r in full}
+    sent = nodes.select("rep", "copies", "vec").mapInArrow(_visit(books, visits, split), SENT_DDL)
+    found = Stored(sent.groupBy("cell", "block", "part").applyInArrow(_meet(threshold), FOUND_DDL), "vectors-found")
     release(nodes.sparkSession)
     return found
 
 
+def near_groups_sql(threshold: float = 0.9) -> str:
+    """The same by comparing all pairs, for vectors of one length with unique ids."""
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    ok AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= {threshold}),
+    r(id, c) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id WHERE r.c < l.b),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+    SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM e JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
 def near_groups(vectors: DataFrame, threshold: float = 0.9, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Links of each vector at cosine >= threshold and the class they join it to.
 

@@ -96,9 +96,10 @@ def test_traverse():
         assert (got == np.argsort(sums, 1, kind="stable")[:, :visits]).all()
 
 
-@pytest.mark.parametrize("block", [4096, 150])
-def test_near_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,visit", [(4096, 16384), (150, 16384), (150, 100), (4096, 60)])
+def test_near_vectors(spark, monkeypatch, block, visit):
     monkeypatch.setattr(multi_index, "BLOCK_ROWS", block)
+    monkeypatch.setattr(multi_index, "VISIT_ROWS", visit)
     r = np.random.default_rng(5)
     base = r.standard_normal((300, 32))
     base /= np.linalg.norm(base, axis=1)[:, None]
