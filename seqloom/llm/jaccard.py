@@ -26,8 +26,8 @@ U = np.uint64
 SKETCH = 1 << 21
 #: Lists up to this length give all their pairs of fitting size; longer ones a chain in size order.
 SHORT_LIST = 32
-#: Shingles of the sets that one verifying task holds.
-TASK_SHINGLES = 4_000_000
+#: Shingles of the sets that one verifying task holds, and of those whose keys share the buckets (a fifth are keys).
+TASK_SHINGLES, BUCKET_SHINGLES = 4_000_000, 1_500_000
 NUM, DEN = 80, 100
 
 
@@ -152,8 +152,22 @@ def _chain(key: np.ndarray, size: np.ndarray, node: np.ndarray, num: int, den: i
     return (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (size[:-1] * den >= size[1:] * num)
 
 
-def _post(sketch, boundary: int, buckets: int, num: int, den: int, flush: int = 500_000):
+def spread_names(spark, buckets: int) -> np.ndarray:
+    """Names of so many buckets that a shuffle to as many partitions deals to one each."""
+    names, tried, size = np.full(buckets, -1, np.int32), 0, 16 * buckets
+    while (names < 0).any():
+        ids = spark.range(tried, tried + size).select(F.col("id").cast("int").alias("id"))
+        part = F.pmod(F.hash("id"), F.lit(buckets))
+        for r in ids.groupBy(part.alias("part")).agg(F.min("id").alias("id")).collect():  # one row a bucket
+            if names[r.part] < 0:
+                names[r.part] = r.id
+        tried += size
+    return names
+
+
+def _post(sketch, boundary: int, names: np.ndarray, num: int, den: int, flush: int = 500_000):
     """Keys of every set, by bucket.  A list that is long within a task leaves as its chain and one entry."""
+    buckets = len(names)
 
     def out(keys, nodes, sizes):
         key, node, size = _in_order(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes))
@@ -178,11 +192,11 @@ def _post(sketch, boundary: int, buckets: int, num: int, den: int, flush: int =
         rows = [[] for _ in POSTS]
         for k, own in enumerate(np.split(by, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])):
             if len(own):
-                for col, x in zip(rows, (k, len(own), key[own].tobytes(), node[own].tobytes(), size[own].astype("<i4").tobytes(), np.packbits(long[own]).tobytes(), None, None)):
+                for col, x in zip(rows, (names[k], len(own), key[own].tobytes(), node[own].tobytes(), size[own].astype("<i4").tobytes(), np.packbits(long[own]).tobytes(), None, None)):
                     col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, POSTS)], schema=POSTS)
         if len(a):
-            where = (a % buckets).astype(np.int32)
+            where = names[a % buckets]
             nothing = pa.nulls(len(a), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.nulls(len(a), pa.int32()), *[nothing] * 4, pa.array(a), pa.array(b)], schema=POSTS)
 
@@ -391,9 +405,10 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
 
     # identical sets are one node, named by their print while candidates are sought
     first = Stored(rows.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits"), F.count("*").alias("copies")), "jaccard-reps")
-    buckets = max(4, -(-total // 4_000_000))
+    buckets = max(32, -(-total // BUCKET_SHINGLES))
+    names = spread_names(spark, buckets)
     sketch = spark.sparkContext.broadcast(counts)
-    posts = base.select("text").mapInArrow(_post(sketch, boundary, buckets, num, den), POSTS_DDL)
+    posts = base.select("text").mapInArrow(_post(sketch, boundary, names, num, den), POSTS_DDL)
     pairs = Stored(posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_candidates(num, den), EDGE_DDL + ", chain boolean"), "jaccard-pairs")
     release(spark)
     # of pairs from short lists only those go on whose bits leave a link possible
@@ -436,3 +451,16 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
         least = out.groupBy("component_id").agg(F.min("old_id").alias("least"))
         out = out.join(least, "component_id").select(F.col("old_id").alias("doc_id"), "n_shingles", "n_links", F.col("least").alias("component_id"))
     return out
+
+
+def similar_groups_sql(num: int = NUM, den: int = DEN) -> str:
+    """The same by counting the common shingles of all pairs, for unique ids."""
+    upper, lower = (repr("".join(map(chr, range(a, a + 26)))) for a in (65, 97))
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}, {lower}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+    i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i * {den} >= {num} * (x.n + y.n - i)),
+    r(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id WHERE r.c < l.b),
+    k AS (SELECT a, count(*) AS k FROM l GROUP BY a), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+    SELECT doc_id, n AS n_shingles, coalesce(k, 0) AS n_links, c AS component_id FROM n JOIN m ON m.id = doc_id LEFT JOIN k ON k.a = doc_id"""

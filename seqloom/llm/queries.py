@@ -57,4 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it; the others are tested against brute force."""
-    return {"op2_licenses": licenses.scan_sql(), "op4_multi_index": multi_index.near_groups_sql(), "op10_sharding": sharding.shard_sql()}
+    return {
+        "op2_licenses": licenses.scan_sql(),
+        "op4_multi_index": multi_index.near_groups_sql(),
+        "op5_suffix_dedup": suffixes.dedup_sql(),
+        "op6_jaccard_join": jaccard.similar_groups_sql(),
+        "op10_sharding": sharding.shard_sql(),
+    }

@@ -610,3 +610,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BL
     if "n_chars" in named:
         named["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*[named[c] for c in docs.columns])
+
+
+def dedup_sql(length: int = LENGTH, step: int = 1024) -> str:
+    """The same by grouping every string of `length` bytes, for unique ids; texts are read in steps as hexadecimal digits."""
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+    p AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, {2 * (step + length - 1)}) AS piece FROM (SELECT doc_id, h, n, unnest(range(0, n - {length - 1}, {step})) AS c FROM d)),
+    s AS (SELECT doc_id, c + j AS spot, substr(piece, 2 * j + 1, {2 * length}) AS g FROM (SELECT doc_id, c, piece, unnest(range(least({step}, n - {length - 1} - c))) AS j FROM p)),
+    f AS (SELECT doc_id, spot FROM (SELECT doc_id, spot, min(doc_id) OVER (PARTITION BY g) AS first FROM s) WHERE first < doc_id),
+    o AS (SELECT doc_id, spot, coalesce(spot > lag(spot) OVER w + {length}, true) AS fresh FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY spot)),
+    q AS (SELECT doc_id, spot, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY spot) AS run FROM o),
+    runs AS (SELECT doc_id, run, min(spot) AS b, max(spot) + {length} AS e FROM q GROUP BY doc_id, run),
+    cut AS (SELECT doc_id, run, lag(e, 1, 0) OVER w AS from_, b AS to_ FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY run)
+        UNION ALL SELECT d.doc_id, 1000000000, coalesce(max(e), 0), any_value(n) FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id),
+    kept AS (SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (to_ - from_)), '' ORDER BY run) AS h FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT d.doc_id, d.n AS n_bytes, (d.n - strlen(kept.h) // 2)::BIGINT AS n_removed, (SELECT count(*) FROM runs WHERE runs.doc_id = d.doc_id) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+    FROM d JOIN kept USING (doc_id)"""
