@@ -75,8 +75,10 @@ def unique_ids(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFram
     odd = docs.select("doc_id").groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
     if not odd:
         return docs, None
-    order = ["doc_id", *[F.xxhash64(c) for c in columns]]
-    rows = Stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "numbered")
+    # rows that are equal in all of this are told apart by where they were read, so they can be dealt to several tasks
+    order = ["doc_id", *[F.xxhash64(c) for c in columns], "at"]
+    read = docs.withColumn("at", F.monotonically_increasing_id())
+    rows = Stored(read.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "numbered")
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     sizes = rows.read().groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()  # one row a partition
     ahead, before = {}, 0

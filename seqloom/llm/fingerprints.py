@@ -1,4 +1,9 @@
-"""Document fingerprints from prefix polynomial hashes."""
+"""Document fingerprints from prefix polynomial hashes.
+
+A fingerprint is the hash of the whole text, which tells texts apart, and a sketch of the hashes of its
+spans, by which likeness is estimated.  Both are read from the text's prefix arrays, as are span
+equality and the longest common extension.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, tune
+from .common import as_text, tune, unique_ids
 
 P = np.uint64((1 << 31) - 1)  # a Mersenne prime: products of two residues fit in 64 bits
 BASES = (np.uint64(1_315_423_911 % ((1 << 31) - 1)), np.uint64(880_301_671))
@@ -144,9 +149,17 @@ def sketch(hashes: PrefixHashes, span: int = SPAN, cells: int = CELLS) -> np.nda
     return finish(least(hashes, 0, hashes.n - width + 1, width, cells))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of spans that two texts have in common (Dice), estimated from equal cells."""
-    j = float((a == b).mean())
+def fingerprint_of(hashes: PrefixHashes, cells: np.ndarray) -> str:
+    """16 hexadecimal digits of the whole text's hash, then 4 of each cell of its sketch."""
+    return f"{hashes.span(0, hashes.n) if hashes.n else 0:016x}" + cells.astype(">u2").tobytes().hex()
+
+
+def likeness(a: str, b: str) -> float:
+    """Of two fingerprints: the share of spans that their texts have in common (Dice), estimated from equal cells; 1 of equal texts."""
+    if a[:16] == b[:16]:
+        return 1.0
+    x, y = (np.frombuffer(bytes.fromhex(f[16:]), ">u2") for f in (a, b))
+    j = float((x == y).mean())
     return 2 * j / (1 + j)
 
 
@@ -191,17 +204,20 @@ class _Print:
         self.common = max(0, _kept(n) - SPAN + 1)  # spans within the part that stays
         if n >= SPAN:
             self.low = least(self.hashes, 0, self.common, SPAN)
-            self.sketch = finish(np.minimum(self.low, least(self.hashes, self.common, n - SPAN + 1, SPAN)))
+            cells = finish(np.minimum(self.low, least(self.hashes, self.common, n - SPAN + 1, SPAN)))
         else:
-            self.sketch = sketch(self.hashes)
+            cells = sketch(self.hashes)
+        self.fingerprint = fingerprint_of(self.hashes, cells)
 
-    def edit(self, following: str) -> tuple[PrefixHashes, np.ndarray]:
+    def edit(self, following: str) -> tuple[PrefixHashes, str]:
         n = self.hashes.n
         keep = _kept(n)
         mixed = self.hashes.edited(keep, following[: n - keep])
         if n >= SPAN and mixed.n >= SPAN:
-            return mixed, finish(np.minimum(self.low, least(mixed, self.common, mixed.n - SPAN + 1, SPAN)))
-        return mixed, sketch(mixed)
+            cells = finish(np.minimum(self.low, least(mixed, self.common, mixed.n - SPAN + 1, SPAN)))
+        else:
+            cells = sketch(mixed)
+        return mixed, fingerprint_of(mixed, cells)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +227,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row(now: _Print, doc, then: _Print):
         mixed, other = now.edit(then.text)
         return (
-            doc, now.hashes.n, hashlib.sha256(edit(now.text, then.text).encode("utf-8", "surrogatepass")).hexdigest(), now.sketch.astype(">u2").tobytes().hex(),
-            other.astype(">u2").tobytes().hex(), likeness(now.sketch, other), likeness(now.sketch, then.sketch), longest_common_extension(now.hashes, 0, mixed, 0),
+            doc, now.hashes.n, hashlib.sha256(edit(now.text, then.text).encode("utf-8", "surrogatepass")).hexdigest(), now.fingerprint,
+            other, likeness(now.fingerprint, other), likeness(now.fingerprint, then.fingerprint), longest_common_extension(now.hashes, 0, mixed, 0),
         )
 
     for batch in batches:
@@ -232,13 +248,14 @@ def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprint every whole text and its edited text, and compare each with the one that follows.
 
     Documents are dealt by doc_id into ranges; only the first row of each range is sent twice, so a
-    text crosses the network once.  Ties of doc_id follow the order of their texts' hashes; a null
-    doc_id stands first; a null text is empty; a single row is followed by itself; an empty table
-    gives no rows.  Equal texts have equal fingerprints.
+    text crosses the network once.  Rows that repeat a doc_id, or lack one, are numbered first, in the
+    order of doc_id (nulls first) and their texts' hashes, so that they can be dealt too; a null text is
+    empty; a single row is followed by itself; an empty table gives no rows; extra columns are ignored.
+    Equal texts have equal fingerprints.
     """
     spark = docs.sparkSession
     tune(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text"))
+    base, back = unique_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")), ["text"])
     if parts is None:
         parts = min(4000, max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     got = base.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("b")).first()
@@ -256,8 +273,51 @@ def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     .otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("part"), F.lit(1).alias("extra")))))
         .select(F.inline("to"), "doc_id", "text")
     )
-    return (
+    out = (
         dealt.repartition(max(1, len(firsts)), "part")
-        .sortWithinPartitions("part", "extra", "doc_id", F.xxhash64("text"))
+        .sortWithinPartitions("part", "extra", "doc_id")
         .mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
     )
+    if back is not None:
+        out = out.join(back, "doc_id").select(F.col("old_id").alias("doc_id"), *out.columns[1:])
+    return out
+
+
+def fingerprint_sql(steps: int = 512) -> str:
+    """The same in SQL, span by span without prefix arrays, for unique ids and texts of up to `steps` ** 2 code points."""
+    p, word = int(P), 1 << 64
+    powers = [f"u{k} AS (SELECT 0 AS i, 1::BIGINT AS x UNION ALL SELECT i + 1, x * {int(b)} % {p} FROM u{k} WHERE i < {steps - 1})" for k, b in enumerate(BASES)]
+    powers += [f"v{k} AS (SELECT 0 AS i, 1::BIGINT AS x UNION ALL SELECT i + 1, x * {pow(int(b), steps, p)} % {p} FROM v{k} WHERE i < {steps - 1})" for k, b in enumerate(BASES)]
+    whole = ", ".join(f"(sum(c * (u{k}.x * v{k}.x % {p}) % {p}) % {p})::BIGINT AS r{k}" for k in (0, 1))
+    tables = " ".join(f"JOIN u{k} ON u{k}.i = c.i % {steps} JOIN v{k} ON v{k}.i = c.i // {steps}" for k in (0, 1))
+    spans = ", ".join("(" + " + ".join(f"coalesce(lead(c, {j}, 0) OVER w, 0) * {pow(int(b), j, p)} % {p}" for j in range(SPAN)) + f") % {p} AS r{k}" for k, b in enumerate(BASES))
+
+    def scramble(x: str) -> str:
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = f"((xor({x}, {x} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {word}::UHUGEINT)::UBIGINT"
+        return f"xor({x}, {x} >> 31)"
+
+    shift, cells = 64 - (CELLS - 1).bit_length(), CELLS
+    return f"""WITH RECURSIVE {", ".join(powers)},
+    d AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER w AS then_, first_value(coalesce(text, '')) OVER w AS head FROM documents WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    e AS MATERIALIZED (SELECT doc_id, text, length(text) AS n, substr(text, 1, length(text) - length(text) // 4) || substr(coalesce(then_, head), 1, length(text) // 4) AS edited, doc_id AS id FROM d),
+    t AS (SELECT doc_id, 0 AS kind, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+    l AS (SELECT doc_id, kind, list_transform(regexp_extract_all(text, '(?s).'), lambda ch: unicode(ch)::BIGINT + 1) AS cs FROM t),
+    c AS MATERIALIZED (SELECT doc_id, kind, len(cs) AS n, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM l),
+    whole AS (SELECT doc_id, kind, (r0 << 31) | r1 AS h FROM (SELECT doc_id, kind, {whole} FROM c {tables} GROUP BY doc_id, kind)),
+    s AS (SELECT DISTINCT doc_id, kind, ((r0 << 31) | r1)::UBIGINT AS x FROM (SELECT doc_id, kind, i, n, {spans} FROM c WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)) WHERE i <= greatest(n - {SPAN}, 0)),
+    low AS (SELECT doc_id, kind, (h >> {shift})::INT AS cell, min(h) AS h FROM (SELECT doc_id, kind, {scramble("s.x")} AS h FROM s) GROUP BY ALL),
+    f AS (SELECT doc_id, kind, list(h ORDER BY cell) AS hs, list(cell ORDER BY cell) AS at_ FROM low GROUP BY doc_id, kind),
+    q AS (SELECT doc_id, kind, cell, CASE WHEN list_contains(at_, cell) THEN hs[list_position(at_, cell)] ELSE NULL END AS own, (hs[(cell * 40503 + 17) % len(hs) + 1]::UHUGEINT + cell::UHUGEINT) % {word}::UHUGEINT AS near_ FROM f, range({cells}) x(cell)),
+    b AS (SELECT doc_id, kind, cell, lower(lpad(hex(coalesce(own, {scramble("q.near_::UBIGINT")}) % 65536), 4, '0')) AS x FROM q),
+    k AS (SELECT doc_id, kind, string_agg(x, '' ORDER BY cell) AS sketch, list(x ORDER BY cell) AS xs FROM b GROUP BY doc_id, kind),
+    z AS MATERIALIZED (SELECT t.doc_id, t.kind, lower(lpad(hex(coalesce(h, 0)), 16, '0')) AS h, coalesce(sketch, repeat('0000', {cells})) AS sketch, coalesce(xs, list_transform(range({cells}), lambda i: '0000')) AS xs
+        FROM t LEFT JOIN whole USING (doc_id, kind) LEFT JOIN k USING (doc_id, kind)),
+    m AS (SELECT doc_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id), (SELECT min(doc_id) FROM e)) AS next FROM e),
+    p AS (SELECT e.doc_id, e.n, e.text, e.edited, a.h || a.sketch AS fp, y.h || y.sketch AS efp, a.h = y.h AS same_e, a.h = g.h AS same_n,
+        list_sum(list_transform(list_zip(a.xs, y.xs), lambda r: (r[1] = r[2])::INT))::DOUBLE / {cells} AS je, list_sum(list_transform(list_zip(a.xs, g.xs), lambda r: (r[1] = r[2])::INT))::DOUBLE / {cells} AS jn
+        FROM e JOIN m USING (doc_id) JOIN z a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN z y ON y.doc_id = e.doc_id AND y.kind = 1 JOIN z g ON g.doc_id = m.next AND g.kind = 0),
+    w AS (SELECT x.doc_id, min(x.i) AS first FROM c x LEFT JOIN c y ON y.doc_id = x.doc_id AND y.kind = 1 AND y.i = x.i WHERE x.kind = 0 AND x.c IS DISTINCT FROM y.c GROUP BY x.doc_id)
+    SELECT p.doc_id, n AS n_chars, sha256(encode(edited)) AS edited_sha256, fp AS fingerprint, efp AS edited_fingerprint, CASE WHEN same_e THEN 1.0::DOUBLE ELSE 2 * je / (1 + je) END AS near_edited,
+        CASE WHEN same_n THEN 1.0::DOUBLE ELSE 2 * jn / (1 + jn) END AS near_next, coalesce(first, n) AS common_prefix
+    FROM p LEFT JOIN w USING (doc_id)"""

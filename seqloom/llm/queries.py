@@ -62,5 +62,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_multi_index": multi_index.near_groups_sql(),
         "op5_suffix_dedup": suffixes.dedup_sql(),
         "op6_jaccard_join": jaccard.similar_groups_sql(),
+        "op8_fingerprints": fingerprints.fingerprint_sql(),
         "op10_sharding": sharding.shard_sql(),
     }

@@ -49,11 +49,53 @@ def test_fingerprints(documents, rows, parts):
         r = got[d]
         assert (r.n_chars, r.edited_sha256) == (len(t), sha(edited))
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
-        a, b, c = (fingerprints.sketch(fingerprints.PrefixHashes(x)) for x in (t, edited, then))
-        assert r.fingerprint == a.astype(">u2").tobytes().hex() and r.edited_fingerprint == b.astype(">u2").tobytes().hex()
-        assert r.near_edited == fingerprints.likeness(a, b) and r.near_next == fingerprints.likeness(a, c)
+        a, b, c = (plain_fingerprint(x) for x in (t, edited, then))
+        assert (r.fingerprint, r.edited_fingerprint) == (a, b)
+        for like, other in ((r.near_edited, b), (r.near_next, c)):
+            same = sum(a[k : k + 4] == other[k : k + 4] for k in range(16, len(a), 4)) / 128
+            assert like == (1 if a[:16] == other[:16] else 2 * same / (1 + same))
+        assert r.common_prefix == next((k for k, (x, y) in enumerate(zip(t, edited)) if x != y), min(len(t), len(edited)))
         near.append(r.near_edited > r.near_next or t == then)
     assert np.mean(near) > 0.97
+    assert len(set(prints.values())) == len(prints)
+
+
+def plain_fingerprint(text):
+    """The fingerprint by its definition, in plain integers and without prefix arrays."""
+    p, bases, word = 2**31 - 1, (1315423911 % (2**31 - 1), 880301671), 2**64
+
+    def scramble(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % word
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % word
+        return x ^ x >> 31
+
+    def value(codes):
+        out = []
+        for base in bases:
+            h = 0
+            for c in reversed(codes):
+                h = (h * base + c) % p
+            out.append(h)
+        return out[0] << 31 | out[1]
+
+    codes = [ord(c) + 1 for c in text]
+    width = min(8, len(codes))
+    low = {}
+    for h in {value(codes[i : i + width]) for i in range(len(codes) - width + 1)} if codes else ():
+        x = scramble(h)
+        low[x >> 57] = min(low.get(x >> 57, word), x)
+    full = sorted(low)
+    cells = [low[k] if k in low else scramble((low[full[(k * 40503 + 17) % len(full)]] + k) % word) if full else 0 for k in range(128)]
+    return f"{value(codes):016x}" + "".join(f"{x % 65536:04x}" for x in cells)
+
+
+def test_fingerprints_of_one_hot_id(spark):
+    """Rows of one doc_id, or of none, are dealt to several tasks."""
+    df = spark.range(4000).selectExpr("if(id < 3000, 7, if(id < 3500, null, id)) as doc_id", "if(id % 2 = 0, 'the same text', concat('text ', id % 50)) as text")
+    found = fingerprints.fingerprint(df, parts=8)
+    assert found.count() == 4000 and found.filter("doc_id is null").count() == 500 and found.filter("doc_id = 7").count() == 3000
+    base, back = fingerprints.unique_ids(df, ["text"])
+    assert back is not None and base.select("doc_id").distinct().count() == 4000 and base.agg({"doc_id": "max"}).first()[0] == 3999
 
 
 def test_fingerprints_odd(odd, nothing):
