@@ -7,12 +7,12 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.errors import InvalidArgumentError
 from seqloom.functions import monoids as M
 from seqloom.functions import pcg
 from seqloom.graph import algorithms as G
 from seqloom.graph import traversal as T
 from seqloom.plans.order import IDX
+from seqloom.plans.skew import join_unique
 from seqloom.sources.generate import from_values, to_values
 
 
@@ -23,10 +23,19 @@ def graph(spark, offsets, neighbours, weights=None):
     return spark.createDataFrame(rows, "edge_id long, src long, dst long, w long"), spark.range(len(offsets) - 1)
 
 
-SAMPLE = ([0, 2, 5, 8, 10], [1, 2, 0, 2, 3, 0, 1, 3, 1, 2])
-PATH = ([0, 1, 3, 5, 6], [1, 0, 2, 1, 3, 2])
-#: two triangles with a bridge
-BRIDGE = ([0, 2, 4, 7, 10, 12, 14], [1, 2, 0, 2, 0, 1, 3, 2, 4, 5, 3, 5, 3, 4])
+def both_ways(pairs, n, weight=lambda a, b: 1):
+    """offsets, neighbours and weights of an undirected graph."""
+    near = {v: sorted([b for a, b in pairs if a == v] + [a for a, b in pairs if b == v]) for v in range(n)}
+    offsets = [0]
+    for v in range(n):
+        offsets.append(offsets[-1] + len(near[v]))
+    flat = [(v, b) for v in range(n) for b in near[v]]
+    return offsets, [b for _, b in flat], [weight(min(x), max(x)) for x in flat]
+
+
+#: a ring of five with a tail of two; two cliques of four joined by an edge
+RING = [(0, 1), (1, 2), (2, 3), (3, 4), (0, 4), (4, 5), (5, 6)]
+CLIQUES = [(a, b) for k in (0, 4) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [(3, 4)]
 
 
 def column(df, name):
@@ -58,30 +67,77 @@ def test_traversal(spark):
     assert [r.common for r in T.intersect_count(edges, pairs).orderBy(IDX).collect()] == [1, 2, 0]
 
 
-def test_fixed_graphs(spark):
-    sample, path, bridge = graph(spark, *SAMPLE), graph(spark, *PATH), graph(spark, *BRIDGE)
-    assert column(G.bfs(*path, 0), "level") == [0, 1, 2, 3]
-    weighted = graph(spark, *PATH, [1, 1, 2, 2, 3, 3])
-    assert column(G.sssp(*weighted, 0), "distance") == [0, 1, 3, 6]
-    assert column(G.cc(*graph(spark, [0, 1, 2, 3, 4, 4], [1, 0, 3, 2])), "component") == [0, 0, 2, 2, 4]
-    assert G.triangle_count(sample[0]).first()[0] == 2
-    x = path[1].withColumn("x", F.col("id") + 1)
-    assert column(G.spmv(path[0], x, "w", "x"), "y") == [2, 4, 6, 3]
-    assert column(G.k_core(*sample), "core") == [2, 2, 2, 2]
-    assert column(G.betweenness(*path), "betweenness") == [0, 4, 4, 0]
-    assert [r.curvature for r in G.forman_ricci(*sample).orderBy("edge_id").collect()] == [-1, -1, -1, -2, -1, -1, -2, -1, -1, -1]
-    assert sorted(map(tuple, G.spgemm(path[0], path[0]).collect())) == [(0, 0), (0, 2), (1, 1), (1, 3), (2, 0), (2, 2), (3, 1), (3, 3)]
-    words = spark.range(8).select(F.col("id").alias("position"), F.lit(0).cast("long").alias("word"))
-    walks = G.random_walks(*path, length=3, per_vertex=1, seed=0, words=words).orderBy("walker", "step").collect()
-    assert [r.id for r in walks] == [0, 1, 0, 1, 0, 1, 2, 1, 0, 3, 2, 1]
-    assert G.subgraph_matching(*sample, [(0, 1), (1, 2), (2, 0)]).count() == 12
-    assert column(G.louvain(*bridge, 20, 10), "community") == [0, 0, 0, 1, 1, 1]
-    assert sorted(to_values(G.pr_nibble(*bridge, 0, 0.85, 30))) == [0, 1, 2]
-    forest = G.minimum_spanning_forest(*weighted).collect()
-    assert len(forest) == 3 and sum(r.w for r in forest) == 6
-    assert abs(sum(column(G.personalised_pagerank(*sample, 0), "rank")) - 1) < 1e-9
-    with pytest.raises(InvalidArgumentError):
-        G.louvain(*bridge, most_edges=3)
+def test_small_graphs(spark):
+    ring = graph(spark, *both_ways(RING, 7, lambda a, b: a + b))
+    cliques = graph(spark, *both_ways(CLIQUES, 8))
+    assert column(G.bfs(*ring, 0), "level") == [0, 1, 2, 2, 1, 2, 3]
+    assert column(G.sssp(*ring, 0), "distance") == [0, 1, 4, 9, 4, 13, 24]
+    apart = graph(spark, *both_ways([(0, 2), (1, 4)], 6))
+    assert column(G.cc(*apart), "component") == [0, 1, 0, 3, 1, 5]
+    assert G.triangle_count(cliques[0]).first()[0] == 8 and G.triangle_count(ring[0]).first()[0] == 0
+    x = ring[1].withColumn("x", F.col("id") * 10)
+    assert column(G.spmv(ring[0], x, "w", "x"), "y") == [4 * 40 + 10, 3 * 20, 3 * 10 + 5 * 30, 5 * 20 + 7 * 40, 7 * 30 + 9 * 50, 9 * 40 + 11 * 60, 11 * 50]
+    assert column(G.k_core(*ring), "core") == [2, 2, 2, 2, 2, 1, 1] and column(G.k_core(*cliques), "core") == [3] * 8
+    curved = G.forman_ricci(*cliques)
+    assert sorted(r.curvature for r in curved.collect()) == [-4] * 2 + [-3] * 12 + [-2] * 12
+    ends = {(a, b) for a, b in RING} | {(b, a) for a, b in RING}
+    assert sorted(map(tuple, G.spgemm(ring[0], ring[0]).collect())) == sorted({(a, d) for a, b in ends for c, d in ends if b == c})
+    words = spark.range(14).select(F.col("id").alias("position"), F.lit(1).cast("long").alias("word"))
+    walks = G.random_walks(*ring, length=3, per_vertex=1, seed=0, words=words).orderBy("walker", "step").collect()
+    second = [sorted(b for a, b in ends if a == v) for v in range(7)]
+    step = [near[1 % len(near)] for near in second]
+    assert [r.id for r in walks] == [x for v in range(7) for x in (v, step[v], step[step[v]])]
+    assert G.subgraph_matching(*cliques, [(0, 1), (1, 2), (2, 0)]).count() == 6 * 8
+    assert column(G.louvain(*cliques), "community") == [0] * 4 + [1] * 4
+    assert sorted(to_values(G.pr_nibble(*cliques, 0, 0.85, 30))) == [0, 1, 2, 3]
+    forest = G.minimum_spanning_forest(*ring).collect()
+    assert len(forest) == 6 and sum(r.w for r in forest) == sum(a + b for a, b in RING) - 7
+    assert abs(sum(column(G.personalised_pagerank(*ring, 0), "rank")) - 1) < 1e-9
+
+
+def modularity(rows, community):
+    twice = sum(1 for _ in rows)
+    out = 0.0
+    for c in set(community):
+        inner = sum(community[a] == c == community[b] for _, a, b, _ in rows)
+        total = sum(community[a] == c for _, a, _, _ in rows)
+        out += inner / twice - (total / twice) ** 2
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_louvain_leaves_no_gain(spark, seed):
+    """No vertex gains by moving alone, no two communities gain by joining, and modularity is that of a sequential run or nearly so."""
+    n, rows = random_graph(seed, n=14, p=0.25)
+    edges, vertices = spark.createDataFrame(rows, "edge_id long, src long, dst long, w long"), spark.range(n)
+    got = column(G.louvain(edges, vertices), "community")
+    assert sorted(set(got)) == list(range(len(set(got))))
+    here = modularity(rows, got)
+    for a in set(got):
+        for b in set(got) - {a}:
+            assert modularity(rows, [b if c == a else c for c in got]) <= here + 1e-9
+    best = list(range(n))
+    while True:  # one vertex at a time, from the start
+        moves = [(modularity(rows, [*best[:v], c, *best[v + 1 :]]), v, c) for v in range(n) for c in set(best)]
+        top = max(moves)
+        if top[0] <= modularity(rows, best) + 1e-9:
+            break
+        best[top[1]] = top[2]
+    assert here >= modularity(rows, best) - 0.05
+
+
+def test_hubs(spark):
+    """A hub with the smallest id, and one whose rows are looked up by broadcast."""
+    n = 400
+    pairs = [(0, b) for b in range(1, n)] + [(b, b + 1) for b in range(1, n - 1, 2)]
+    edges, vertices = graph(spark, *both_ways(pairs, n))
+    assert G.triangle_count(edges).first()[0] == (n - 1) // 2
+    assert column(G.cc(edges, vertices), "component") == [0] * n
+    rows = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    table = spark.range(100_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        a, b = join_unique(rows, "k", table, how, share=10), rows.join(table, "k", how)
+        assert a.exceptAll(b).isEmpty() and a.count() == b.count()
 
 
 def random_graph(seed, n=9, p=0.3):
@@ -160,7 +216,10 @@ def test_random_graphs(spark, seed):
                 share[v] += paths[v] / paths[b] * (1 + share[b])
             if b != s:
                 between[b] += share[b]
-    assert column(G.betweenness(edges, vertices), "betweenness") == pytest.approx(between)
+    for pairs in (50_000_000, 4 * n):
+        assert column(G.betweenness(edges, vertices, pairs), "betweenness") == pytest.approx(between)
+    triples = sum((a, b) in {(x, y) for _, x, y, _ in rows} and (b, c) in {(x, y) for _, x, y, _ in rows} and (a, c) in {(x, y) for _, x, y, _ in rows} for a in range(n) for b in range(a) for c in range(b))
+    assert G.triangle_count(edges).first()[0] == triples
 
     rank, deg = [1 / n] * n, [len(adj[v]) for v in range(n)]
     for _ in range(5):
