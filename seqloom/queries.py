@@ -184,12 +184,18 @@ def uniform_f64(spark, d):
     return events(spark, d).select(IDX, pcg.uniform_f64(F.col(IDX), -1.0, 1.0, 6).alias("v"))
 
 
-@query()
+def _normal_sql(seed: int, result: str) -> str:
+    return f"""SELECT _idx, {result} AS v FROM (SELECT a.event_id AS _idx, (sqrt(-2.0::DOUBLE * ln(((a.x >> 8)::DOUBLE + 0.5)::FLOAT::DOUBLE * 5.9604644775390625e-8::DOUBLE))::FLOAT
+        * cos((6.283185307179586::FLOAT * (((b.x >> 8)::DOUBLE + 0.5)::FLOAT::DOUBLE * 5.9604644775390625e-8::DOUBLE)::FLOAT)::DOUBLE)::FLOAT)::FLOAT AS z
+        FROM ({_draw_sql(seed, 0)}) a JOIN ({_draw_sql(seed, pcg.SECOND)}) b USING (event_id))"""
+
+
+@query(_normal_sql(8, "(0::FLOAT + 1::FLOAT * z)::FLOAT"))
 def normal_f32(spark, d):
     return events(spark, d).select(IDX, pcg.normal_f32(F.col(IDX), 0.0, 1.0, 8).alias("v"))
 
 
-@query()
+@query(_normal_sql(8, "10::DOUBLE + 2::DOUBLE * z::DOUBLE"))
 def normal_f64(spark, d):
     return events(spark, d).select(IDX, pcg.normal_f64(F.col(IDX), 10.0, 2.0, 8).alias("v"))
 
@@ -416,11 +422,11 @@ def merge_by_key(spark, d):
 
 def _bands(spark, d):
     t = table(spark, d, "lineitem").select("l_quantity", F.col("l_suppkey").cast("long").alias("k"))
-    return (with_index(t.filter(c).select("k"), "k") for c in ("l_quantity < 20", "l_quantity >= 25"))
+    return (with_index(t.filter(c).select("k"), "k") for c in ("l_quantity < 25", "l_quantity >= 25"))
 
 
 def _sets_sql(how: str) -> str:
-    a, b = ("SELECT l_suppkey::BIGINT AS k FROM lineitem WHERE l_quantity " + x for x in ("< 20", ">= 25"))
+    a, b = ("SELECT l_suppkey::BIGINT AS k FROM lineitem WHERE l_quantity " + x for x in ("< 25", ">= 25"))
     body = {"union": f"({a}) UNION ALL (({b}) EXCEPT ALL ({a}))", "intersect": f"({a}) INTERSECT ALL ({b})", "except": f"({a}) EXCEPT ALL ({b})"}[how]
     return f"SELECT row_number() OVER (ORDER BY k) - 1 AS _idx, k FROM ({body})"
 
@@ -660,7 +666,8 @@ def seg_is_sorted_until(spark, d):
 CS = """m AS (SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b, count(*) AS w FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
     g AS (SELECT a AS src, b AS dst, w FROM m UNION ALL SELECT b, a, w FROM m),
     ed AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, * FROM g),
-    v AS (SELECT c_custkey * 2 AS id, CAST(round(c_acctbal * 100) AS BIGINT) AS val FROM customer UNION ALL SELECT s_suppkey * 2 + 1, CAST(round(s_acctbal * 100) AS BIGINT) FROM supplier)"""
+    v AS (SELECT c_custkey * 2 AS id, CAST(round(c_acctbal * 100) AS BIGINT) AS val FROM customer UNION ALL SELECT s_suppkey * 2 + 1, CAST(round(s_acctbal * 100) AS BIGINT) FROM supplier),
+    dg AS (SELECT v.id, count(ed.src) AS n FROM v LEFT JOIN ed ON ed.src = v.id GROUP BY v.id)"""
 
 
 def _met(spark, d):
@@ -674,12 +681,12 @@ def _met(spark, d):
 
 
 def _frontier(vertices):
-    """Every vertex whose id isn't divisible by 3, in order; multiples of 10 twice."""
-    twice = vertices.filter("id % 3 <> 0").select("id", F.explode(F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
+    """Every vertex in order; multiples of 10 twice."""
+    twice = vertices.select("id", F.explode(F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
     return with_index(twice, "id", "k").select(IDX, F.col("id").alias("v"))
 
 
-CSF = CS + """, f AS (SELECT row_number() OVER (ORDER BY id, k) - 1 AS _idx, id AS v FROM (SELECT id, unnest(CASE WHEN id % 10 = 0 THEN [0, 1] ELSE [0] END) AS k FROM v WHERE id % 3 <> 0)),
+CSF = CS + """, f AS (SELECT row_number() OVER (ORDER BY id, k) - 1 AS _idx, id AS v FROM (SELECT id, unnest(CASE WHEN id % 10 = 0 THEN [0, 1] ELSE [0] END) AS k FROM v)),
     t AS (SELECT f._idx AS f_idx, ed.* FROM f JOIN ed ON f.v = ed.src)"""
 
 
@@ -751,10 +758,9 @@ def forman_ricci(spark, d):
     return G.forman_ricci(*_met(spark, d))
 
 
-#: suppliers that share orders a quarter more often than suppliers do on average, both ways
+#: suppliers that share orders, both ways; weight: how many
 SS = """k AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL),
-    k2 AS (SELECT * FROM k WHERE w * 4 * (SELECT count(*) FROM k) >= 5 * (SELECT sum(w) FROM k)),
-    g AS (SELECT a AS src, b AS dst, w FROM k2 UNION ALL SELECT b, a, w FROM k2),
+    g AS (SELECT a AS src, b AS dst, w FROM k UNION ALL SELECT b, a, w FROM k),
     ed AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, * FROM g),
     v AS (SELECT s_suppkey AS id, s_acctbal AS bal FROM supplier),
     dg AS (SELECT v.id, count(ed.src) AS n FROM v LEFT JOIN ed ON ed.src = v.id GROUP BY v.id)"""
@@ -764,61 +770,84 @@ def _shared(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("a"))
     pairs = l.join(l.withColumnRenamed("a", "b"), "l_orderkey").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("w"))
     pairs = stored(pairs, "shared")
-    mean = pairs.agg(F.count("*").alias("__n"), F.sum("w").alias("__s"))
-    few = pairs.join(F.broadcast(mean)).filter("w * 4 * __n >= 5 * __s").select("a", "b", "w")
-    both = few.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(few.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
+    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
     return stored(T.csr(both, "w"), "shared"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"))
 
 
 @query(
-    f"""WITH RECURSIVE {SS}, r(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT ed.dst, level + 1 FROM r JOIN ed ON ed.src = r.id WHERE level < 12)
+    f"""WITH RECURSIVE {CS}, r(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT ed.dst, level + 1 FROM r JOIN ed ON ed.src = r.id WHERE level < 12)
     SELECT v.id, coalesce(min(level), 4294967295)::BIGINT AS level FROM v LEFT JOIN r USING (id) GROUP BY v.id"""
 )
 def bfs(spark, d):
-    return G.bfs(*_shared(spark, d), 0)
+    return G.bfs(*_met(spark, d), 0)
 
 
-def _sssp_sql(rounds: int) -> str:
-    steps = ["b0 AS (SELECT id, CASE WHEN id = 0 THEN 0 ELSE 1000000000 END::BIGINT AS distance FROM v)"]
-    for k in range(rounds):
-        steps.append(
-            f"b{k + 1} AS MATERIALIZED (SELECT b.id, least(b.distance, coalesce(p.p, b.distance)) AS distance FROM b{k} b LEFT JOIN "
-            f"(SELECT ed.dst, min(least(x.distance + w, 1000000000)) AS p FROM ed JOIN b{k} x ON x.id = ed.src GROUP BY ed.dst) p ON p.dst = b.id)"
-        )
-    return f"WITH {SS}, {', '.join(steps)} SELECT id, distance::BIGINT AS distance FROM b{rounds}"
+def _unrolled_sql(graph: str, first: str, step: str, rounds: int, result: str) -> str:
+    """b0, b1, ...: {b} in step is the state before."""
+    parts = [f"b0 AS ({first})"] + [f"b{k + 1} AS MATERIALIZED ({step.format(b=f'b{k}')})" for k in range(rounds)]
+    return f"WITH {graph}, {', '.join(parts)} {result.format(b=f'b{rounds}')}"
 
 
-@query(_sssp_sql(12))
+@query(
+    _unrolled_sql(
+        CS, "SELECT id, CASE WHEN id = 0 THEN 0 ELSE 1000000000 END::BIGINT AS distance FROM v",
+        "SELECT b.id, least(b.distance, coalesce(p.p, b.distance)) AS distance FROM {b} b LEFT JOIN "
+        "(SELECT ed.dst, min(least(x.distance + w, 1000000000)) AS p FROM ed JOIN {b} x ON x.id = ed.src GROUP BY ed.dst) p ON p.dst = b.id",
+        20, "SELECT id, distance::BIGINT AS distance FROM {b}",
+    )
+)
 def sssp(spark, d):
-    return G.sssp(*_shared(spark, d), 0)
+    return G.sssp(*_met(spark, d), 0)
 
 
 @query(
-    f"""WITH RECURSIVE {SS}, r(id, c) AS (SELECT id, id FROM v UNION SELECT ed.dst, r.c FROM r JOIN ed ON ed.src = r.id WHERE r.c < ed.dst)
-    SELECT id, min(c) AS component FROM r GROUP BY id"""
-)
+    _unrolled_sql(
+        CS, "SELECT id, id AS component FROM v",
+        "SELECT b.id, least(b.component, coalesce(p.p, b.component)) AS component FROM {b} b LEFT JOIN (SELECT ed.dst, min(x.component) AS p FROM ed JOIN {b} x ON x.id = ed.src GROUP BY ed.dst) p ON p.dst = b.id",
+        12, "SELECT id, component FROM {b}",
+    )
+)
 def cc(spark, d):
-    return G.cc(*_shared(spark, d)).select("id", "component")
+    return G.cc(*_met(spark, d)).select("id", "component")
 
 
-def _rank_sql(rounds: int, jump: str) -> str:
+def _rank_steps(rounds: int, jump: str) -> str:
     steps = ["b0 AS (SELECT id, n, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM dg)"]
     for k in range(rounds):
         steps.append(
             f"b{k + 1} AS MATERIALIZED (SELECT b.id, b.n, coalesce(p.p, 0) * 0.85::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(rank), 0) FROM b{k} WHERE n = 0) / (SELECT count(*) FROM v) + {jump} AS rank "
             f"FROM b{k} b LEFT JOIN (SELECT ed.dst, sum(x.rank / x.n) AS p FROM ed JOIN b{k} x ON x.id = ed.src GROUP BY ed.dst) p ON p.dst = b.id)"
         )
-    return f"WITH {SS}, {', '.join(steps)} SELECT id, round(rank, 9) AS rank FROM b{rounds}"
+    return ", ".join(steps)
+
+
+def _rank_sql(rounds: int, jump: str) -> str:
+    return f"WITH {CS}, {_rank_steps(rounds, jump)} SELECT id, round(rank, 9) AS rank FROM b{rounds}"
+
+
+TO_ROOT = "CASE WHEN b.id = 0 THEN 1 - 0.85::DOUBLE ELSE 0 END"
 
 
 @query(_rank_sql(4, "(1 - 0.85::DOUBLE) / (SELECT count(*) FROM v)"))
 def pagerank(spark, d):
-    return G.pagerank(*_shared(spark, d), iterations=4).select("id", F.round("rank", 9).alias("rank"))
+    return G.pagerank(*_met(spark, d), iterations=4).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(_rank_sql(4, "CASE WHEN b.id = 0 THEN 1 - 0.85::DOUBLE ELSE 0 END"))
+@query(_rank_sql(4, TO_ROOT))
 def personalised_pagerank(spark, d):
-    return G.personalised_pagerank(*_shared(spark, d), 0, iterations=4).select("id", F.round("rank", 9).alias("rank"))
+    return G.personalised_pagerank(*_met(spark, d), 0, iterations=4).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(
+    f"""WITH {CS}, {_rank_steps(8, TO_ROOT)}, o AS (SELECT id, n, row_number() OVER (ORDER BY CASE WHEN n = 0 THEN -1 ELSE round(rank / n, 10) END DESC, id) - 1 AS _idx FROM b8),
+    x AS (SELECT a._idx, count(*) AS e FROM ed JOIN o a ON a.id = ed.src JOIN o b ON b.id = ed.dst WHERE b._idx < a._idx GROUP BY a._idx),
+    s AS (SELECT o._idx, sum(n - 2 * coalesce(e, 0)) OVER w AS cut, sum(n) OVER w AS vol, sum(n) OVER () AS whole FROM o LEFT JOIN x USING (_idx) WINDOW w AS (ORDER BY o._idx)),
+    c AS (SELECT _idx, CASE WHEN least(vol, whole - vol) > 0 THEN cut::DOUBLE / least(vol, whole - vol)::DOUBLE ELSE 3.4028234663852886e38 END AS c FROM s),
+    p AS (SELECT _idx AS last_ FROM c ORDER BY c, _idx LIMIT 1)
+    SELECT o._idx, o.id FROM o, p WHERE o._idx <= p.last_"""
+)
+def pr_nibble(spark, d):
+    return G.pr_nibble(*_met(spark, d), 0, iterations=8)
 
 
 def _hits_sql(rounds: int) -> str:
@@ -828,12 +857,12 @@ def _hits_sql(rounds: int) -> str:
             x, y = ("authority", "hub") if new[0] == "a" else ("hub", "authority")
             steps.append(f"r{new} AS MATERIALIZED (SELECT v.id, coalesce(sum(o.{y}), 0)::DOUBLE AS x FROM v LEFT JOIN ed ON ed.{b} = v.id LEFT JOIN {old} o ON o.id = ed.{a} GROUP BY v.id)")
             steps.append(f"{new} AS MATERIALIZED (SELECT id, x / CASE WHEN s = 0 THEN 1 ELSE s END AS {x} FROM r{new}, (SELECT sqrt(sum(x * x)) AS s FROM r{new}))")
-    return f"WITH {SS}, {', '.join(steps)} SELECT id, round(hub, 8) AS hub, round(authority, 8) AS authority FROM h{rounds} JOIN a{rounds} USING (id)"
+    return f"WITH {CS}, {', '.join(steps)} SELECT id, round(hub, 8) AS hub, round(authority, 8) AS authority FROM h{rounds} JOIN a{rounds} USING (id)"
 
 
 @query(_hits_sql(3))
 def hits(spark, d):
-    return G.hits(*_shared(spark, d), iterations=3).select("id", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
+    return G.hits(*_met(spark, d), iterations=3).select("id", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
 
 
 @query(f"WITH {SS} SELECT count(*) AS triangles FROM ed x JOIN ed y ON x.dst = y.src JOIN ed z ON z.src = x.src AND z.dst = y.dst WHERE x.src < x.dst AND y.src < y.dst")
@@ -847,19 +876,17 @@ def spgemm(spark, d):
     return G.spgemm(edges, edges)
 
 
-def _geo_sql(rounds: int) -> str:
-    steps = ["b0 AS (SELECT id, (id % 17)::DOUBLE AS x, (id % 23)::DOUBLE AS y FROM v)"]
-    for k in range(rounds):
-        steps.append(
-            f"b{k + 1} AS MATERIALIZED (SELECT b.id, CASE WHEN b.id % 3 = 0 OR p.x IS NULL THEN b.x ELSE p.x END AS x, CASE WHEN b.id % 3 = 0 OR p.x IS NULL THEN b.y ELSE p.y END AS y "
-            f"FROM b{k} b LEFT JOIN (SELECT ed.src, avg(o.x) AS x, avg(o.y) AS y FROM ed JOIN b{k} o ON o.id = ed.dst GROUP BY ed.src) p ON p.src = b.id)"
-        )
-    return f"WITH {SS}, {', '.join(steps)} SELECT id, round(x, 9) AS x, round(y, 9) AS y FROM b{rounds}"
-
-
-@query(_geo_sql(3))
+@query(
+    _unrolled_sql(
+        CS, "SELECT id, (id % 17)::DOUBLE AS x, (id % 23)::DOUBLE AS y FROM v",
+        "SELECT b.id, CASE WHEN b.id % 3 = 0 OR p.x IS NULL THEN b.x ELSE p.x END AS x, CASE WHEN b.id % 3 = 0 OR p.x IS NULL THEN b.y ELSE p.y END AS y "
+        "FROM {b} b LEFT JOIN (SELECT ed.src, avg(o.x) AS x, avg(o.y) AS y FROM ed JOIN {b} o ON o.id = ed.dst GROUP BY ed.src) p ON p.src = b.id",
+        3, "SELECT id, round(x, 9) AS x, round(y, 9) AS y FROM {b}",
+    )
+)
 def geolocation(spark, d):
-    edges, vertices = _shared(spark, d)
+    """A third of the vertices is known; that is the feature's input."""
+    edges, vertices = _met(spark, d)
     placed = vertices.select("id", (F.col("id") % 17).alias("x"), (F.col("id") % 23).alias("y"), (F.col("id") % 3 == 0).alias("known"))
     return G.geolocation(edges, placed, iterations=3).select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
@@ -889,29 +916,50 @@ def subgraph_matching(spark, d):
     return G.subgraph_matching(*_shared(spark, d), [(0, 1), (1, 2), (2, 0)])
 
 
-@query()
+@query(
+    _unrolled_sql(
+        CS, "SELECT id, n AS core FROM dg",
+        "SELECT b.id, coalesce(p.h, 0) AS core FROM {b} b LEFT JOIN (SELECT src, max(least(c, r)) AS h FROM (SELECT ed.src, x.core AS c, row_number() OVER (PARTITION BY ed.src ORDER BY x.core DESC) AS r FROM ed JOIN {b} x ON x.id = ed.dst) GROUP BY src) p ON p.src = b.id",
+        40, "SELECT id, core::BIGINT AS core FROM {b}",
+    )
+)
 def k_core(spark, d):
-    return G.k_core(*_shared(spark, d))
+    return G.k_core(*_met(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SS}, r(t, s, v, d, p) AS (SELECT 0, id, id, 0, 1.0::DOUBLE FROM v UNION ALL
+        SELECT t + 1, s, v, min(d), coalesce(max(p) FILTER (d <= t), sum(p)) FROM
+        (SELECT t, s, v, d, p FROM r WHERE t < 12 UNION ALL SELECT t, s, ed.dst, t + 1, p FROM r JOIN ed ON ed.src = r.v WHERE t < 12 AND d = t) GROUP BY t, s, v),
+    q AS MATERIALIZED (SELECT s, v, d, p FROM r WHERE t = 12),
+    c AS (SELECT a.v AS id, sum(a.p * b.p / w.p) AS x FROM q a JOIN q b ON a.v = b.s JOIN q w ON w.s = a.s AND w.v = b.v AND w.d = a.d + b.d WHERE a.v <> a.s AND a.v <> b.v GROUP BY a.v)
+    SELECT v.id, round(coalesce(x, 0), 6) AS betweenness FROM v LEFT JOIN c USING (id)"""
+)
 def betweenness(spark, d):
     return G.betweenness(*_shared(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query()
-def pr_nibble(spark, d):
-    return G.pr_nibble(*_shared(spark, d), 0)
-
-
-@query()
+@query(
+    f"""WITH RECURSIVE {SS}, u AS MATERIALIZED (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min({{'w': w, 'edge_id': edge_id, 'src': src, 'dst': dst}}) AS e FROM ed GROUP BY ALL),
+    n AS (SELECT count(*) AS n, list(id ORDER BY id) AS ids FROM v),
+    r(t, seen, e) AS (SELECT 1, [ids[1]], NULL::STRUCT(w BIGINT, edge_id BIGINT, src BIGINT, dst BIGINT) FROM n UNION ALL
+        SELECT t + 1, list_append(seen, CASE WHEN x IS NULL THEN list_min(list_filter(ids, lambda i: NOT list_contains(seen, i))) WHEN list_contains(seen, x.src) THEN x.dst ELSE x.src END), x
+        FROM (SELECT r.t, r.seen, n.ids, (SELECT min(u.e) FROM u WHERE list_contains(r.seen, u.a) <> list_contains(r.seen, u.b)) AS x FROM r, n WHERE r.t < n.n))
+    SELECT e.edge_id AS edge_id, e.src AS src, e.dst AS dst, e.w AS w FROM r WHERE e IS NOT NULL"""
+)
 def minimum_spanning_forest(spark, d):
     return G.minimum_spanning_forest(*_shared(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CS}, o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS k FROM dg),
+    nb AS MATERIALIZED (SELECT a.k, list(b.k) AS before FROM ed JOIN o a ON a.id = ed.src JOIN o b ON b.id = ed.dst WHERE b.k < a.k GROUP BY a.k),
+    r(k, cols) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k, list_append(cols, list_min(list_filter(range(len(used) + 1), lambda c: NOT list_contains(used, c)))) FROM
+        (SELECT o.k, r.cols, coalesce(list_distinct(list_transform(nb.before, lambda j: r.cols[j])), []) AS used FROM r JOIN o ON o.k = r.k + 1 LEFT JOIN nb ON nb.k = o.k))
+    SELECT o.id, z.cols[o.k] AS color FROM o, (SELECT cols FROM r WHERE k = (SELECT count(*) FROM o)) z"""
+)
 def coloring(spark, d):
-    return G.coloring(*_shared(spark, d))
+    return G.coloring(*_met(spark, d))
 
 
 @query()
