@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OutputTooShortError
 from ..functions.monoids import Monoid
-from ..plans.order import IDX, columns
+from ..plans.order import IDX, columns, with_index
+from .bykey import reduce_by_key_with
 
 
 def gather(values: DataFrame, indices: DataFrame, index: str = "index") -> DataFrame:
@@ -55,3 +58,11 @@ def scatter_reduce(values: DataFrame, destination: DataFrame, value: str, op: Mo
     joined = destination.join(total, IDX, "left")
     new = F.when(F.col("__t").isNull(), F.col(value)).otherwise(op.both(F.col(value), F.col("__t"))).alias(value)
     return joined.select(IDX, *[new if c == value else F.col(c) for c in columns(destination)])
+
+
+def scatter_reduce_with(values: DataFrame, destination: DataFrame, value: str, op: Callable[[Column, Column], Column], index: str = "index") -> DataFrame:
+    """scatter_reduce with any associative operation: the destination's value, then those for its place in order."""
+    placed = with_index(values.select(F.col(index).alias("__to"), F.col(IDX).alias("__from"), F.col(value).alias("__v")), "__to", "__from")
+    total = reduce_by_key_with(placed, ["__to"], F.col("__v"), op, name="__t").select(F.col("__to").alias(IDX), "__t")
+    new = F.when(F.col("__t").isNull(), F.col(value)).otherwise(op(F.col(value), F.col("__t"))).alias(value)
+    return destination.join(total, IDX, "left").select(IDX, *[new if c == value else F.col(c) for c in columns(destination)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.monoids import Monoid
-from ..plans.order import BLOCK, IDX, columns, with_previous
+from ..plans.order import BLOCK, IDX, columns, comes_before, named_order, with_previous
 
 Op = Callable[[Column, Column], Column]
 
@@ -79,31 +79,46 @@ def mismatch(left: DataFrame, right: DataFrame, eq: Op | None = None) -> DataFra
     return _pairs(left, right).agg(F.min(F.when(~_same(left, eq), F.col(IDX))).alias("index"))
 
 
-def lexicographical_compare(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Whether left comes strictly before right; a prefix comes before what it begins."""
-    n = len(columns(left))
-    a, b = F.struct(*[f"__l_{i}" for i in range(n)]), F.struct(*[F.col(f"__r_{i}").alias(f"__l_{i}") for i in range(n)])
-    less = F.when(F.col("__l").isNull(), True).when(F.col("__r").isNull(), False).otherwise(a < b)
-    return _pairs(left, right).agg(F.coalesce(F.min_by(F.when(~_same(left, None), less), F.when(~_same(left, None), F.col(IDX))), F.lit(False)).alias("less"))
+def lexicographical_compare(left: DataFrame, right: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Whether left comes strictly before right; a prefix comes before what it begins.
+
+    Rows compare by all columns, or in the order given ("-name" falls); columns of the same place have the same name.
+    """
+    names = columns(left)
+    order = order or names
+    at = {c: i for i, c in enumerate(names)}
+    before = comes_before(order, lambda c: F.col(f"__l_{at[c]}"), lambda c: F.col(f"__r_{at[c]}"))
+    after = comes_before(order, lambda c: F.col(f"__r_{at[c]}"), lambda c: F.col(f"__l_{at[c]}"))
+    less = F.when(F.col("__l").isNull(), True).when(F.col("__r").isNull(), False).when(before, True).when(after, False)
+    return _pairs(left, right).agg(F.coalesce(F.min_by(less, F.when(less.isNotNull(), F.col(IDX))), F.lit(False)).alias("less"))
+
+
+def _value(names: list[str]) -> Column:
+    """One column as it is, several as a struct."""
+    return F.col(names[0]) if len(names) == 1 else F.struct(*names)
 
 
-def adjacent_find(df: DataFrame, eq: Op, column: str, block: int = 0) -> DataFrame:
-    """First position whose value and the next one's satisfy eq, or null."""
-    prev = with_previous(df, {"__p": F.col(column)}, block or BLOCK)
-    return prev.agg(F.min(F.when((F.col(IDX) > 0) & eq(F.col("__p"), F.col(column)), F.col(IDX) - 1)).alias("index"))
+def adjacent_find(df: DataFrame, eq: Op, *names: str, block: int = 0) -> DataFrame:
+    """First position whose value and the next one's satisfy eq, or null; several columns reach eq as structs."""
+    value = _value(list(names))
+    prev = with_previous(df, {"__p": value}, block or BLOCK)
+    return prev.agg(F.min(F.when((F.col(IDX) > 0) & eq(F.col("__p"), value), F.col(IDX) - 1)).alias("index"))
 
 
-def _break(column: str, descending: bool) -> Column:
-    now, before = F.col(column), F.col("__p")
-    return (F.col(IDX) > 0) & (now > before if descending else now < before)
+def _breaks(df: DataFrame, order, block: int) -> tuple[DataFrame, Column]:
+    """df with each row's predecessor, and whether a row stands before it in the order."""
+    order = list(order)
+    prev = with_previous(df, {f"__p_{c}": F.col(c) for c, _ in named_order(order)}, block or BLOCK)
+    return prev, (F.col(IDX) > 0) & comes_before(order, F.col, lambda c: F.col(f"__p_{c}"))
 
 
-def is_sorted(df: DataFrame, column: str, descending: bool = False, block: int = 0) -> DataFrame:
-    prev = with_previous(df, {"__p": F.col(column)}, block or BLOCK)
-    return prev.agg((~F.coalesce(F.bool_or(_break(column, descending)), F.lit(False))).alias("is_sorted"))
+def is_sorted(df: DataFrame, *order: str, block: int = 0) -> DataFrame:
+    """Whether no row stands before its predecessor in the order of the columns ("-name" falls)."""
+    prev, broken = _breaks(df, order, block)
+    return prev.agg((~F.coalesce(F.bool_or(broken), F.lit(False))).alias("is_sorted"))
 
 
-def is_sorted_until(df: DataFrame, column: str, descending: bool = False, block: int = 0) -> DataFrame:
+def is_sorted_until(df: DataFrame, *order: str, block: int = 0) -> DataFrame:
     """First position that is less than the one before it, else the length."""
-    prev = with_previous(df, {"__p": F.col(column)}, block or BLOCK)
-    return prev.agg(F.coalesce(F.min(F.when(_break(column, descending), F.col(IDX))), F.count("*")).alias("until"))
+    prev, broken = _breaks(df, order, block)
+    return prev.agg(F.coalesce(F.min(F.when(broken, F.col(IDX))), F.count("*")).alias("until"))

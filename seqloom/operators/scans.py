@@ -49,22 +49,37 @@ def scan_with(df: DataFrame, value: Column, op: Callable[[Column, Column], Colum
     return df.join(found.select(F.col("k").alias(IDX), F.col("r").alias(name)), IDX)
 
 
-def adjacent_difference(df: DataFrame, column: str, op: Callable[[Column, Column], Column], name: str = "difference", block: int = 0) -> DataFrame:
-    """op(previous, current); the first row keeps its value."""
-    prev = with_previous(df, {"__p": F.col(column)}, block)
-    return prev.select(IDX, *columns(df), F.when(F.col(IDX) == 0, F.col(column)).otherwise(op(F.col("__p"), F.col(column))).alias(name))
+def exclusive_scan_with(df: DataFrame, value: Column, op: Callable[[Column, Column], Column], init: Column, name: str = "scan", block: int = 256) -> DataFrame:
+    """exclusive_scan with any associative operation: init, then op(init, what came before)."""
+    got = with_previous(scan_with(df, value, op, "__scan", block), {"__before": F.col("__scan")})
+    return got.select(IDX, *columns(df), F.when(F.col(IDX) == 0, init).otherwise(op(init, F.col("__before"))).alias(name))
 
 
-def heads(df: DataFrame, keys: list[str], name: str = "__head", block: int = 0) -> DataFrame:
-    """Marks rows whose keys differ from the row before's."""
+def adjacent_difference(df: DataFrame, column: str | list[str], op: Callable[[Column, Column], Column], name: str = "difference", block: int = 0) -> DataFrame:
+    """op(previous, current); the first row keeps its value.  Several columns reach op as structs."""
+    value = F.col(column) if isinstance(column, str) else F.struct(*column)
+    prev = with_previous(df, {"__p": value}, block)
+    return prev.select(IDX, *columns(df), F.when(F.col(IDX) == 0, value).otherwise(op(F.col("__p"), value)).alias(name))
+
+
+Same = Callable[[Column, Column], Column]
+
+
+def heads(df: DataFrame, keys: list[str], name: str = "__head", block: int = 0, same: Same | None = None) -> DataFrame:
+    """Marks rows whose keys differ from the row before's; `same` compares a row's keys with the one's before
+    (a column, or a struct of several) in place of equality."""
     prev = with_previous(df, {f"__p_{k}": F.col(k) for k in keys}, block)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"__p_{k}").eqNullSafe(F.col(k))
-    return prev.select(IDX, *columns(df), ((F.col(IDX) == 0) | ~same).alias(name))
+    if same is None:
+        equal = F.lit(True)
+        for k in keys:
+            equal = equal & F.col(f"__p_{k}").eqNullSafe(F.col(k))
+    else:
+        before, now = (F.struct(*[F.col(p + k).alias(k) for k in keys]) if len(keys) > 1 else F.col(p + keys[0]) for p in ("__p_", ""))
+        equal = F.coalesce(same(before, now), F.lit(False))
+    return prev.select(IDX, *columns(df), ((F.col(IDX) == 0) | ~equal).alias(name))
 
 
-def unique(df: DataFrame, *keys: str, block: int = 0) -> DataFrame:
+def unique(df: DataFrame, *keys: str, block: int = 0, same: Same | None = None) -> DataFrame:
     """The first row of each run of equal keys (by default of equal rows)."""
-    marked = heads(df, list(keys) or columns(df), block=block)
+    marked = heads(df, list(keys) or columns(df), block=block, same=same)
     return reindex(marked.filter("__head").select(IDX, *columns(df)), block)

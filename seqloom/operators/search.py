@@ -8,40 +8,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.monoids import add
-from ..plans.order import IDX, scan, with_index
+from ..plans.order import IDX, named_order, scan, sort_columns, with_index
 from .transform import with_table
 
 
-def _bound(source: DataFrame, queries: DataFrame, key: str, upper: bool, block: int) -> DataFrame:
+def _bound(source: DataFrame, queries: DataFrame, order, upper: bool, block: int) -> DataFrame:
     """Where each query's key would stand in the sorted source: a merge of both and a running count.
 
     Of equal keys the queries come first for the lower bound, last for the upper.
     """
-    tagged = source.select(F.col(key).alias("__key"), F.lit(0 if upper else 1).alias("__tag"), F.lit(None).cast("long").alias("__q"), F.lit(1).alias("__one"))
-    asked = queries.select(F.col(key).alias("__key"), F.lit(1 if upper else 0).alias("__tag"), F.col(IDX).alias("__q"), F.lit(0).alias("__one"))
-    both = with_index(tagged.unionByName(asked), "__key", "__tag", "__q")
+    keys = [c for c, _ in named_order(order)]
+    tagged = source.select(*keys, F.lit(0 if upper else 1).alias("__tag"), F.lit(None).cast("long").alias("__q"), F.lit(1).alias("__one"))
+    asked = queries.select(*keys, F.lit(1 if upper else 0).alias("__tag"), F.col(IDX).alias("__q"), F.lit(0).alias("__one"))
+    both = with_index(tagged.unionByName(asked), *sort_columns(order), "__tag", "__q")
     counted = scan(both, "bound", F.col("__one"), add, block=block)
-    return counted.filter(F.col("__q").isNotNull()).select(F.col("__q").alias(IDX), F.col("__key").alias(key), "bound")
+    return counted.filter(F.col("__q").isNotNull()).select(F.col("__q").alias(IDX), *keys, "bound")
 
 
-def lower_bound(source: DataFrame, queries: DataFrame, key: str, block: int = 0) -> DataFrame:
-    """First position of the sorted source whose key isn't less than the query's."""
-    return _bound(source, queries, key, False, block)
+def lower_bound(source: DataFrame, queries: DataFrame, order: str | list[str], block: int = 0) -> DataFrame:
+    """First position of the source, sorted by these columns ("-name" falls), whose key doesn't stand before the query's."""
+    return _bound(source, queries, order, False, block)
 
 
-def upper_bound(source: DataFrame, queries: DataFrame, key: str, block: int = 0) -> DataFrame:
-    """First position whose key is greater."""
-    return _bound(source, queries, key, True, block)
+def upper_bound(source: DataFrame, queries: DataFrame, order: str | list[str], block: int = 0) -> DataFrame:
+    """First position whose key stands after the query's."""
+    return _bound(source, queries, order, True, block)
 
 
-def find_first_of(source: DataFrame, needles: DataFrame, key: str, same: Callable[[Column, Column], Column] | None = None, limit: int = 100_000) -> DataFrame:
+def find_first_of(source: DataFrame, needles: DataFrame, key: str | list[str], same: Callable[[Column, Column], Column] | None = None, at_once: int = 100_000) -> DataFrame:
     """First position of source that equals any needle, or null.
 
-    Equality is a semi join.  With another test every row meets every needle, and at most `limit`
-    needles are sent to the tasks.
+    Equality is a semi join.  With another test every row meets every needle: needles are sent to the
+    tasks `at_once` at a time, and only rows before the best position so far are looked at again.
+    Several columns reach the test as structs.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if same is None:
-        hit = source.join(needles.select(F.col(key).alias("__n")).distinct(), F.col(key) == F.col("__n"), "left_semi")
+        hit = source.join(needles.select(*keys).distinct(), keys, "left_semi")
         return hit.agg(F.min(IDX).alias("index"))
-    seen = with_table(source, needles.select(IDX, key), "__needles", limit)
-    return seen.filter(F.exists("__needles", lambda n: same(F.col(key), n[key]))).agg(F.min(IDX).alias("index"))
+    best, value = None, F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    last = needles.agg(F.max(IDX)).first()[0]
+    for begin in range(0, -1 if last is None else last + 1, at_once):
+        some = needles.filter((F.col(IDX) >= begin) & (F.col(IDX) < begin + at_once)).select(IDX, *keys)
+        rows = source if best is None else source.filter(F.col(IDX) < best)
+        test = F.exists("__needles", lambda n: same(value, n[keys[0]] if len(keys) == 1 else F.struct(*[n[k] for k in keys])))
+        found = with_table(rows, some, "__needles", at_once).filter(test).agg(F.min(IDX)).first()[0]
+        best = best if found is None else found
+    return source.sparkSession.createDataFrame([(best,)], "index long")

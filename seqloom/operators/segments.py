@@ -2,8 +2,9 @@
 
 Values are a sequence (`_idx`, columns); a segmentation says how its positions are cut up: one row a
 segment (`seg`, `start`, `length`), empty ones too.  `attach` gives every value its segment `seg` and
-its place `pos` there.  Windows are by segment, so segments run side by side; results of one row a
-segment start from the segmentation, so empty segments stay.
+its place `pos` there.  A segment may be as long as the table: windows run within blocks of a segment's
+places, and one row a block is carried over to the next ones.  Results of one row a segment start from
+the segmentation, so empty segments stay.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..errors import InvalidSegmentationError, LengthMismatchError
 from ..functions.monoids import Monoid, add
-from ..plans.order import IDX, scan, with_previous
+from ..plans.order import BLOCK, IDX, comes_before, named_order, scan, with_index, with_previous
+from ..plans.skew import join_unique
+from .bykey import exclusive_scan_by_key_with, reduce_by_key_with, scan_by_key_with
 
 SEG, POS = "seg", "pos"
+Op = Callable[[Column, Column], Column]
 
 
 class Segmentation:
@@ -68,9 +73,14 @@ class Segmentation:
     def value_count(self) -> DataFrame:
         return self.rows.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("values"))
 
-    def places(self) -> DataFrame:
-        """(_idx, seg, pos) of every value."""
-        return self.rows.filter("length > 0").select(SEG, "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias(POS)).select((F.col("start") + F.col(POS)).alias(IDX), SEG, POS)
+    def places(self, block: int = 0) -> DataFrame:
+        """(_idx, seg, pos) of every value; a long segment is dealt out by blocks of its places."""
+        block = block or BLOCK
+        blocks = self.rows.filter("length > 0").select(SEG, "start", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block))).alias(BLK))
+        each = F.sequence(F.col(BLK) * block, F.least(F.col("length"), (F.col(BLK) + 1) * block) - 1)
+        # a number of its own, since the few rows here are many once they are exploded
+        parts = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return blocks.repartition(parts, SEG, BLK).select(SEG, "start", F.explode(each).alias(POS)).select((F.col("start") + F.col(POS)).alias(IDX), SEG, POS)
 
     def segment_ids(self) -> DataFrame:
         return self.places().select(IDX, SEG)
@@ -82,17 +92,45 @@ class Segmentation:
         return values.join(self.places(), IDX)
 
 
-def _window():
-    return Window.partitionBy(SEG).orderBy(POS)
+BLK = "__blk"
 
 
-def _running(last: int):
-    return _window().rowsBetween(Window.unboundedPreceding, last)
+def _blocked(df: DataFrame, block: int) -> DataFrame:
+    return df.withColumn(BLK, F.floor(F.col(POS) / (block or BLOCK)))
 
 
-def _renumber(df: DataFrame, names: list[str]) -> DataFrame:
-    """Places within segments without gaps, in the order of pos."""
-    return df.select(SEG, (F.row_number().over(_window()) - 1).cast("long").alias(POS), *names)
+def _within():
+    return Window.partitionBy(SEG, BLK).orderBy(POS)
+
+
+def _upto(last: int):
+    return _within().rowsBetween(Window.unboundedPreceding, last)
+
+
+def _carry(df: DataFrame, total: Column, over: Callable[[Column, WindowSpec], Column]) -> DataFrame:
+    """What the earlier blocks of a segment amount to, for each block but its first: (seg, block, __carry)."""
+    before = Window.partitionBy(SEG).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(SEG, BLK).agg(total.alias("__t"))
+    return totals.select(SEG, BLK, over(F.col("__t"), before).alias("__carry")).filter(F.col(BLK) > 0)
+
+
+def _renumber(df: DataFrame, names: list[str], by: tuple[str, ...] = (POS,), block: int = 0) -> DataFrame:
+    """Places within segments without gaps, in the order of pos (and what follows)."""
+    at = _blocked(df, block)
+    ahead = _carry(at, F.count("*"), lambda t, w: F.sum(t).over(w))
+    place = F.row_number().over(Window.partitionBy(SEG, BLK).orderBy(*by)) - 1
+    return at.withColumn("__place", place).join(ahead, [SEG, BLK], "left").select(SEG, (F.col("__place") + F.coalesce("__carry", F.lit(0))).cast("long").alias(POS), *names)
+
+
+def _with_previous(df: DataFrame, named: dict[str, Column], block: int = 0) -> DataFrame:
+    """Adds, under each name, the expression's value at the place before; null at a segment's first."""
+    size = block or BLOCK
+    at = _blocked(df, block)
+    # the last place of a full block is the one before the next block's first
+    edge = df.filter(F.col(POS) % size == size - 1).select(SEG, (F.floor(F.col(POS) / size) + 1).alias(BLK), F.struct(*[e.alias(n) for n, e in named.items()]).alias("__edge"))
+    inner = at.select("*", *[F.lag(e).over(_within()).alias(f"__in_{n}") for n, e in named.items()])
+    first = F.col(POS) % size == 0
+    return inner.join(edge, [SEG, BLK], "left").select(*df.columns, *[F.when(first, F.col("__edge")[n]).otherwise(F.col(f"__in_{n}")).alias(n) for n in named])
 
 
 def _names(df: DataFrame) -> list[str]:
@@ -103,44 +141,78 @@ def seg_map(df: DataFrame, **named: Column) -> DataFrame:
     return df.select(SEG, POS, *[e.alias(n) for n, e in named.items()])
 
 
-def seg_flat_map(df: DataFrame, count: Column, generate: Callable[[Column], Column], name: str = "v") -> DataFrame:
+def seg_flat_map(df: DataFrame, count: Column, generate: Callable[[Column], Column], name: str = "v", block: int = 0) -> DataFrame:
     each = F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), generate))
-    wide = df.select(SEG, POS, F.posexplode(each).alias("__i", name))
-    place = F.row_number().over(Window.partitionBy(SEG).orderBy(POS, "__i")) - 1
-    return wide.select(SEG, place.cast("long").alias(POS), name)
+    return _renumber(df.select(SEG, POS, F.posexplode(each).alias("__i", name)), [name], (POS, "__i"), block)
 
 
 def seg_sort(df: DataFrame, *order: Column) -> DataFrame:
-    """Stable within each segment."""
-    place = F.row_number().over(Window.partitionBy(SEG).orderBy(*order, POS)) - 1
-    return df.select(SEG, place.cast("long").alias("__at"), *_names(df)).withColumnRenamed("__at", POS)
+    """Stable within each segment: one range sort of all values, from which each segment's first place is taken off."""
+    rows = with_index(df.select(SEG, POS, *_names(df)).withColumnRenamed(POS, "__from"), SEG, *order, "__from")
+    first = rows.groupBy(SEG).agg(F.min(IDX).alias("__first"))
+    return join_unique(rows, SEG, first).select(SEG, (F.col(IDX) - F.col("__first")).alias(POS), *_names(df))
 
 
 def seg_reverse(df: DataFrame, segments: Segmentation) -> DataFrame:
     return df.join(segments.rows.select(SEG, "length"), SEG).select(SEG, (F.col("length") - 1 - F.col(POS)).alias(POS), *_names(df))
 
 
-def seg_inclusive_scan(df: DataFrame, value: Column, op: Monoid, name: str = "scan") -> DataFrame:
-    return df.select(SEG, POS, *_names(df), op.over(value, _running(0)).alias(name))
+def _scan(df: DataFrame, value: Column, op: Monoid, last: int, init, name: str, block: int) -> DataFrame:
+    at = _blocked(df.withColumn("__v", value), block)
+    carry = _carry(at, op.agg(F.col("__v")), op.over)
+    inner = at.withColumn("__own", op.over(F.col("__v"), _upto(last)))
+    out = op.join(None if init is None else F.lit(init), F.col("__carry"), F.col("__own"))
+    return inner.join(carry, [SEG, BLK], "left").select(SEG, POS, *_names(df), out.alias(name))
+
+
+def seg_inclusive_scan(df: DataFrame, value: Column, op: Monoid, name: str = "scan", block: int = 0) -> DataFrame:
+    return _scan(df, value, op, 0, None, name, block)
+
+
+def seg_exclusive_scan(df: DataFrame, value: Column, op: Monoid, init, name: str = "scan", block: int = 0) -> DataFrame:
+    return _scan(df, value, op, -1, init, name, block)
+
+
+def _sequence(df: DataFrame) -> DataFrame:
+    """All values in the order of (seg, pos), numbered anew."""
+    return with_index(df.select(SEG, POS, *_names(df)), SEG, POS)
+
+
+def seg_inclusive_scan_with(df: DataFrame, value: Column, op: Op, name: str = "scan") -> DataFrame:
+    """With any associative operation: segments are runs of one sequence."""
+    return scan_by_key_with(_sequence(df), [SEG], value, op, name).select(SEG, POS, *_names(df), name)
+
+
+def seg_exclusive_scan_with(df: DataFrame, value: Column, op: Op, init: Column, name: str = "scan") -> DataFrame:
+    return exclusive_scan_by_key_with(_sequence(df), [SEG], value, op, init, name).select(SEG, POS, *_names(df), name)
+
+
+def seg_reduce_with(df: DataFrame, segments: Segmentation, value: Column, op: Op, init: Column, name: str = "reduced") -> DataFrame:
+    """init combined with the segment's values in order; of an empty segment, init."""
+    found = reduce_by_key_with(_sequence(df), [SEG], value, op, name="__t").select(SEG, "__t", F.lit(True).alias("__some"))
+    return segments.rows.select(SEG).join(found, SEG, "left").select(SEG, F.when(F.col("__some"), op(init, F.col("__t"))).otherwise(init).alias(name))
 
 
-def seg_exclusive_scan(df: DataFrame, value: Column, op: Monoid, init, name: str = "scan") -> DataFrame:
-    return df.select(SEG, POS, *_names(df), op.join(F.lit(init), op.over(value, _running(-1))).alias(name))
+def _value(column: str | list[str]) -> Column:
+    return F.col(column) if isinstance(column, str) else F.struct(*column)
 
 
-def seg_adjacent_difference(df: DataFrame, column: str, op: Callable[[Column, Column], Column], name: str = "difference") -> DataFrame:
-    before = F.lag(column).over(_window())
-    return df.select(SEG, POS, *_names(df), F.when(F.col(POS) == 0, F.col(column)).otherwise(op(before, F.col(column))).alias(name))
+def seg_adjacent_difference(df: DataFrame, column: str | list[str], op: Op, name: str = "difference", block: int = 0) -> DataFrame:
+    """op(previous, current); a segment's first keeps its value.  Several columns reach op as structs."""
+    prev = _with_previous(df, {"__p": _value(column)}, block)
+    return prev.select(SEG, POS, *_names(df), F.when(F.col(POS) == 0, _value(column)).otherwise(op(F.col("__p"), _value(column))).alias(name))
 
 
-def seg_unique(df: DataFrame, column: str) -> DataFrame:
-    """The first of each run of equal neighbours; runs end with their segment."""
-    marked = df.withColumn("__p", F.lag(column).over(_window()))
-    return _renumber(marked.filter((F.col(POS) == 0) | ~F.col("__p").eqNullSafe(F.col(column))), _names(df))
+def seg_unique(df: DataFrame, column: str | list[str], same: Op | None = None, block: int = 0) -> DataFrame:
+    """The first of each run of equal neighbours (or by `same`); runs end with their segment."""
+    value = _value(column)
+    marked = _with_previous(df, {"__p": value}, block)
+    equal = F.col("__p").eqNullSafe(value) if same is None else F.coalesce(same(F.col("__p"), value), F.lit(False))
+    return _renumber(marked.filter((F.col(POS) == 0) | ~equal), _names(df), block=block)
 
 
-def seg_filter(df: DataFrame, predicate: Column) -> DataFrame:
-    return _renumber(df.filter(predicate), _names(df))
+def seg_filter(df: DataFrame, predicate: Column, block: int = 0) -> DataFrame:
+    return _renumber(df.filter(predicate), _names(df), block=block)
 
 
 def _summary(df: DataFrame, segments: Segmentation, **named: tuple[Column, object]) -> DataFrame:
@@ -171,16 +243,17 @@ def seg_none_of(df: DataFrame, segments: Segmentation, predicate: Column) -> Dat
     return _summary(df, segments, none_of=(~F.bool_or(predicate), True))
 
 
-def _breaks(df: DataFrame, column: str) -> DataFrame:
-    before = F.lag(column).over(_window())
-    return df.select(SEG, POS, F.coalesce(F.col(column) < before, F.lit(False)).alias("__break"))
+def _breaks(df: DataFrame, order, block: int) -> DataFrame:
+    prev = _with_previous(df, {f"__p_{c}": F.col(c) for c, _ in named_order(order)}, block)
+    return prev.select(SEG, POS, ((F.col(POS) > 0) & comes_before(order, F.col, lambda c: F.col(f"__p_{c}"))).alias("__break"))
 
 
-def seg_is_sorted(df: DataFrame, segments: Segmentation, column: str) -> DataFrame:
-    return _summary(_breaks(df, column), segments, is_sorted=(~F.bool_or("__break"), True))
+def seg_is_sorted(df: DataFrame, segments: Segmentation, order: str | list[str], block: int = 0) -> DataFrame:
+    """By one or several columns, "-name" where they fall."""
+    return _summary(_breaks(df, order, block), segments, is_sorted=(~F.bool_or("__break"), True))
 
 
-def seg_is_sorted_until(df: DataFrame, segments: Segmentation, column: str) -> DataFrame:
+def seg_is_sorted_until(df: DataFrame, segments: Segmentation, order: str | list[str], block: int = 0) -> DataFrame:
     """Length of the sorted beginning of each segment."""
     until = F.coalesce(F.min(F.when(F.col("__break"), F.col(POS))), F.count("*"))
-    return _summary(_breaks(df, column), segments, until=(until, 0))
+    return _summary(_breaks(df, order, block), segments, until=(until, 0))

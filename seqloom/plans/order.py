@@ -7,6 +7,8 @@ within blocks, and only one summary row a block (n / BLOCK rows) is ordered in a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,25 @@ def columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != IDX]
 
 
+def named_order(order: str | list[str] | tuple[str, ...]) -> list[tuple[str, bool]]:
+    """An order by columns: names, with a leading "-" where it falls.  (name, falls) of each."""
+    return [(o.lstrip("-"), o.startswith("-")) for o in ([order] if isinstance(order, str) else order)]
+
+
+def sort_columns(order) -> list[Column]:
+    return [F.desc(c) if falls else F.asc(c) for c, falls in named_order(order)]
+
+
+def comes_before(order, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether row a stands strictly before row b; a(name) and b(name) are their columns.  Nulls come first where the order rises."""
+    less, tied = F.lit(False), F.lit(True)
+    for c, falls in named_order(order):
+        x, y = (b(c), a(c)) if falls else (a(c), b(c))
+        below = F.coalesce(x < y, x.isNull() & y.isNotNull())
+        less, tied = less | (tied & below), tied & x.eqNullSafe(y)
+    return less
+
+
 def at_position(df: DataFrame, column: str) -> DataFrame:
     """A sequence from a table one of whose columns already holds the positions 0, 1, 2, ..."""
     return df.select(F.col(column).cast("long").alias(IDX), *df.columns)

@@ -376,6 +376,60 @@ def scan_by_key_with(spark, d):
     return op.scan_by_key_with(events(spark, d), ["event_type"], F.col("cents"), lambda a, b: F.least(a, b)).select(IDX, "scan")
 
 
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query(f"WITH {E} SELECT _idx, greatest(900, max(cents) OVER (ORDER BY _idx {BEFORE})) AS scan FROM e")
+def exclusive_scan_with(spark, d):
+    return op.exclusive_scan_with(events(spark, d), F.col("cents"), lambda a, b: F.greatest(a, b), F.lit(900).cast("long")).select(IDX, "scan")
+
+
+@query(f"WITH {RUNS} SELECT _idx, least(70000, min(cents) OVER (PARTITION BY run ORDER BY _idx {BEFORE})) AS scan FROM r")
+def exclusive_scan_by_key_with(spark, d):
+    return op.exclusive_scan_by_key_with(events(spark, d), ["event_type"], F.col("cents"), lambda a, b: F.least(a, b), F.lit(70_000).cast("long")).select(IDX, "scan")
+
+
+@query(f"WITH {RUNS} SELECT run AS _idx, any_value(event_type) AS event_type, arg_max(cents, _idx) AS reduced FROM r GROUP BY run")
+def reduce_by_key_with(spark, d):
+    """The later of two is associative, but not commutative: each run's last value."""
+    return op.reduce_by_key_with(events(spark, d), ["event_type"], F.col("cents"), lambda a, b: b)
+
+
+NEAR = f"{E}, h AS (SELECT *, coalesce(abs(user_id - lag(user_id) OVER (ORDER BY _idx)) > 10, true) AS h FROM e), r AS (SELECT *, sum(h::INT) OVER (ORDER BY _idx)::BIGINT - 1 AS run FROM h)"
+
+
+@query(f"WITH {NEAR} SELECT run AS _idx, arg_min(user_id, _idx) AS user_id, sum(cents)::BIGINT AS reduced FROM r GROUP BY run")
+def reduce_by_key_same(spark, d):
+    """Neighbours whose users are 10 apart or less count as one key."""
+    return op.reduce_by_key(events(spark, d), ["user_id"], F.col("cents"), M.add, same=lambda a, b: F.abs(b - a) <= 10)
+
+
+@query(f"WITH {NEAR} SELECT run AS _idx, user_id, cents FROM r WHERE h")
+def unique_same(spark, d):
+    return op.unique(events(spark, d).select(IDX, "user_id", "cents"), "user_id", same=lambda a, b: F.abs(b - a) <= 10)
+
+
+@query(
+    f"""WITH {E}, x AS (SELECT _idx, _idx > 0 AND (user_id, -cents) < (lag(user_id) OVER (ORDER BY _idx), -lag(cents) OVER (ORDER BY _idx)) AS b FROM e)
+    SELECT NOT coalesce(bool_or(b), false) AS is_sorted, coalesce(min(_idx) FILTER (b), count(*)) AS until FROM x"""
+)
+def is_sorted_many(spark, d):
+    e = events(spark, d)
+    return op.is_sorted(e, "user_id", "-cents").join(op.is_sorted_until(e, "user_id", "-cents"))
+
+
+@query(
+    f"""WITH {E}, x AS (SELECT _idx, user_id, cents, lag(user_id) OVER w AS u, lag(cents) OVER w AS c FROM e WINDOW w AS (ORDER BY _idx))
+    SELECT _idx, CASE WHEN u IS NULL THEN user_id ELSE user_id - u END AS user_step, CASE WHEN u IS NULL THEN cents ELSE cents - c END AS cents_step FROM x"""
+)
+def adjacent_difference_many(spark, d):
+    def step(a, b):
+        return F.struct((b["user_id"] - a["user_id"]).alias("user_id"), (b["cents"] - a["cents"]).alias("cents"))
+
+    got = op.adjacent_difference(events(spark, d), ["user_id", "cents"], step)
+    return got.select(IDX, F.col("difference")["user_id"].alias("user_step"), F.col("difference")["cents"].alias("cents_step"))
+
+
 @query(f"WITH {E} SELECT count(*) AS length, count(*) = 0 AS is_empty FROM e")
 def length(spark, d):
     return generate.length(events(spark, d))
@@ -401,6 +455,17 @@ def radix_sort_by_key(spark, d):
     return op.radix_sort_by_key(rows, ["l_discount", "l_tax"])
 
 
+WIDE = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY l_discount, l_quantity DESC, l_suppkey, {LINE_ORDER}, l_extendedprice) - 1 AS _idx, {WIDE} FROM lineitem")
+def sort_wide(spark, d):
+    """Three keys, one of them falling, and seven value columns."""
+    t = table(spark, d, "lineitem").select("l_orderkey", *WIDE.split(", "))
+    rows = with_index(t, *LINE_ORDER.split(", "), "l_extendedprice")
+    return op.sort(rows, F.asc("l_discount"), F.desc("l_quantity"), F.asc("l_suppkey")).select(IDX, *WIDE.split(", "))
+
+
 def _halves(spark, d):
     p = parts(spark, d).select(IDX, "size", "cents")
     left, right = op.copy_where(p, F.col("size") % 2 == 0), op.remove_where(p, F.col("size") % 2 == 0)
@@ -469,6 +534,23 @@ def upper_bound(spark, d):
     return op.upper_bound(*_bound_args(spark, d), "key")
 
 
+@query(
+    f"""WITH {PART}, q AS (SELECT _idx, brand, 51 - size AS size FROM p), c AS (SELECT brand, size, count(*) AS n FROM p GROUP BY ALL)
+    SELECT _idx, brand, size, coalesce((SELECT sum(n) FROM c WHERE c.brand < q.brand OR c.brand = q.brand AND c.size > q.size), 0)::BIGINT AS bound FROM q"""
+)
+def lower_bound_many(spark, d):
+    """By brand, then falling size."""
+    p = parts(spark, d).select(IDX, "brand", "size")
+    source = op.sort(p, F.asc("brand"), F.desc("size"))
+    return op.lower_bound(source, p.select(IDX, "brand", (51 - F.col("size")).alias("size")), ["brand", "-size"])
+
+
+@query(f"WITH {E}, {PART} SELECT min(e._idx) AS index FROM e WHERE EXISTS (SELECT 1 FROM p WHERE abs(e.cents - p.size * 100) < 3)")
+def find_first_of_same(spark, d):
+    needles = parts(spark, d).select(IDX, (F.col("size") * 100).cast("long").alias("cents"))
+    return op.find_first_of(events(spark, d), needles, "cents", lambda a, b: F.abs(a - b) < 3, at_once=64)
+
+
 @query(f"WITH {E}, {PART} SELECT min(e._idx) AS index FROM e WHERE cents IN (SELECT size * 100 + 7 FROM p)")
 def find_first_of(spark, d):
     return op.find_first_of(events(spark, d), parts(spark, d).select(IDX, (F.col("size") * 100 + 7).cast("long").alias("cents")), "cents")
@@ -511,6 +593,12 @@ def scatter_reduce(spark, d):
     return op.scatter_reduce(orders(spark, d).withColumnRenamed("cust", "index"), customers(spark, d).select(IDX, "cents"), "cents", M.add)
 
 
+@query(f"WITH {ORD}, {CUST}, s AS (SELECT cust, arg_max(cents, _idx) AS v FROM o GROUP BY cust) SELECT c._idx, coalesce(s.v, c.cents) AS cents FROM c LEFT JOIN s ON c._idx = s.cust")
+def scatter_reduce_with(spark, d):
+    """The later of two: what comes last stays."""
+    return op.scatter_reduce_with(orders(spark, d).withColumnRenamed("cust", "index"), customers(spark, d).select(IDX, "cents"), "cents", lambda a, b: b)
+
+
 # ---------------------------------------------------------------- segments: lineitems of each order
 
 SEGL = """n AS (SELECT o_orderkey AS seg, count(l_orderkey) AS length FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
@@ -611,6 +699,19 @@ def seg_filter(spark, d):
     return S.seg_filter(x, F.col("cents") > 3_000_000)
 
 
+@query(f"WITH {SEGL} SELECT seg, pos, max(cents) OVER (PARTITION BY seg ORDER BY pos) AS scan FROM x")
+def seg_inclusive_scan_with(spark, d):
+    _, x = _segments(spark, d)
+    return S.seg_inclusive_scan_with(x, F.col("cents"), lambda a, b: F.greatest(a, b)).select("seg", "pos", "scan")
+
+
+@query(f"WITH {SEGL} SELECT seg, pos, coalesce(lag(cents) OVER (PARTITION BY seg ORDER BY pos), 5) AS scan FROM x")
+def seg_exclusive_scan_with(spark, d):
+    """The later of two."""
+    _, x = _segments(spark, d)
+    return S.seg_exclusive_scan_with(x, F.col("cents"), lambda a, b: b, F.lit(5).cast("long")).select("seg", "pos", "scan")
+
+
 def _per_segment(sql: str, empty: str, name: str) -> str:
     return f"WITH {SEGL}, r AS (SELECT seg, {sql} AS v FROM x GROUP BY seg) SELECT s.seg, coalesce(r.v, {empty}) AS {name} FROM s LEFT JOIN r USING (seg)"
 
@@ -621,6 +722,12 @@ def seg_reduce(spark, d):
     return S.seg_reduce(x, cut, F.col("cents"), M.add, 4)
 
 
+@query(_per_segment("arg_max(cents, pos)", "5", "reduced"))
+def seg_reduce_with(spark, d):
+    cut, x = _segments(spark, d)
+    return S.seg_reduce_with(x, cut, F.col("cents"), lambda a, b: b, F.lit(5).cast("long"))
+
+
 @query(_per_segment("count(*) FILTER (cents > 3000000)", "0", "count"))
 def seg_count_if(spark, d):
     cut, x = _segments(spark, d)
