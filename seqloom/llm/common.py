@@ -20,12 +20,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares; one is made only where the session names none."""
+    """The folder that every executor shares.  One is made only where the session names none and runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = there.get() if there.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
