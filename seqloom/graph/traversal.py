@@ -44,6 +44,11 @@ def destination(traversal: DataFrame, vertices: DataFrame, column: str, name: st
     return traversal.join(vertices.select(F.col("id").alias(DST), F.col(column).alias(name or f"destination_{column}")), DST)
 
 
+def edge(traversal: DataFrame, values: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """A column of a sequence whose places are edge numbers, beside each edge."""
+    return traversal.join(values.select(F.col(IDX).alias(EDGE), F.col(column).alias(name or f"edge_{column}")), EDGE)
+
+
 def emit(traversal: DataFrame, **named: Column) -> DataFrame:
     """One row an edge, in order."""
     return with_index(traversal.select("f_idx", EDGE, *[e.alias(n) for n, e in named.items()]), "f_idx", EDGE).select(IDX, *named)

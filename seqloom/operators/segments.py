@@ -137,6 +137,22 @@ def _names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (IDX, SEG, POS)]
 
 
+def seg_context(df: DataFrame, context: DataFrame, *names: str) -> DataFrame:
+    """Values beside what their segment is given: columns of a sequence with one row a segment.
+
+    A long segment's row is sent to its values' tasks, not its values to one task.
+    """
+    rows = context.select(F.col(IDX).alias(SEG), *names)
+    return join_unique(df, SEG, rows)
+
+
+def seg_reduce_context(df: DataFrame, segments: Segmentation, context: DataFrame, value: Column, op: Monoid, finish: Op, init, name: str = "reduced") -> DataFrame:
+    """seg_reduce, then finish(result, context row) for every segment, empty ones too."""
+    found = seg_reduce(df, segments, value, op, init, "__r")
+    rows = context.select(F.col(IDX).alias(SEG), F.struct(*[c for c in context.columns if c != IDX]).alias("__c"))
+    return found.join(rows, SEG).select(SEG, finish(F.col("__r"), F.col("__c")).alias(name))
+
+
 def seg_map(df: DataFrame, **named: Column) -> DataFrame:
     return df.select(SEG, POS, *[e.alias(n) for n, e in named.items()])
 

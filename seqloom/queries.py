@@ -752,6 +752,21 @@ def seg_none_of(spark, d):
     return S.seg_none_of(x, cut, F.col("cents") > 3_000_000)
 
 
+@query(f"WITH {SEGL} SELECT x.seg, pos, x.cents + CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM x JOIN orders ON o_orderkey = x.seg")
+def seg_context(spark, d):
+    """Each lineitem beside its order's price."""
+    _, x = _segments(spark, d)
+    both = S.seg_context(x, orders(spark, d).select(IDX, F.col("cents").alias("price")), "price")
+    return S.seg_map(both, v=F.col("cents") + F.col("price"))
+
+
+@query(f"WITH {SEGL}, r AS (SELECT seg, sum(cents) AS v FROM x GROUP BY seg) SELECT s.seg, (coalesce(r.v, 0) - CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS reduced FROM s JOIN orders ON o_orderkey = s.seg LEFT JOIN r ON r.seg = s.seg")
+def seg_reduce_context(spark, d):
+    """What an order's lineitems amount to, less its price; orders without lineitems too."""
+    cut, x = _segments(spark, d)
+    return S.seg_reduce_context(x, cut, orders(spark, d).select(IDX, F.col("cents").alias("price")), F.col("cents"), M.add, lambda r, c: r - c["price"], 0)
+
+
 BROKEN = f"{SEGL}, b AS (SELECT seg, pos, coalesce(supp < lag(supp) OVER (PARTITION BY seg ORDER BY pos), false) AS b FROM x)"
 
 
@@ -803,6 +818,14 @@ def graph_emit(spark, d):
     return T.emit(T.traverse(edges, _frontier(vertices)), src=F.col("src"), dst=F.col("dst"), w=F.col("w"))
 
 
+@query(f"WITH {CSF} SELECT row_number() OVER (ORDER BY f_idx, edge_id) - 1 AS _idx, dst, w * 3 + edge_id AS v FROM t")
+def graph_edge_values(spark, d):
+    """Values that aren't on the edges but in a sequence by edge number."""
+    edges, vertices = _met(spark, d)
+    values = edges.select(F.col("edge_id").alias(IDX), (F.col("w") * 3 + F.col("edge_id")).alias("x"))
+    return T.emit(T.edge(T.traverse(edges, _frontier(vertices)), values, "x"), dst=F.col("dst"), v=F.col("edge_x"))
+
+
 @query(f"WITH {CSF} SELECT count(*) AS edges, count(*) <= 1000 AS fits FROM t")
 def graph_edge_count(spark, d):
     edges, vertices = _met(spark, d)
