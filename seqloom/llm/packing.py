@@ -16,7 +16,7 @@ from .common import Stored, as_text, tune
 
 CAPACITY = 4096
 #: Words whose ids a worker keeps (about 200 bytes each); beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters only: lower-casing and composition leave them alone or act letter by letter.
 PLAIN = re.compile("[ -&(-;=-~\n\t\rÀ-ÖØ-öø-ÿ]*")
