@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,27 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextlib.contextmanager
+def narrow_batches(spark: SparkSession, size: int, rows: int):
+    """Plans that run inside hand Python batches of about `size` bytes and decode Parquet `rows` rows at a time."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size), "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def spare() -> None:
+    """In a worker: give unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares.  One is made only where the session names none and runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,11 +60,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A table written to the shared folder: its lineage is cut and it outlives lost executors."""
 
-    def __init__(self, df: DataFrame, tag: str, codec: str = "zstd"):
+    def __init__(self, df: DataFrame, tag: str, codec: str = "zstd", large_rows: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.option("compression", codec).parquet(self.path)
+        out = df.write.option("compression", codec)
+        if large_rows:  # the writer looks at its size after 100 rows otherwise
+            out = out.options(**{"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8, "parquet.page.size.row.check.min": 1})
+        out.parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

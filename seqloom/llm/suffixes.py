@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, as_text, release, tune, unique_ids
+from .common import Stored, as_text, narrow_batches, release, spare, tune, unique_ids
 
 LENGTH = 50
 V = 31
@@ -197,14 +197,15 @@ def _read_on(big, at, order, new, here, k: int, length: int):
     return here[tied], fresh[tied]
 
 
-def _pack(x: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each number, plane by plane."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+def _bytes(x: np.ndarray, width: int) -> np.ndarray:
+    """A row of the low `width` bytes of each number, lowest first."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
 
 
-def _unpack(blob: bytes, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, n).T
+def _number(records: np.ndarray) -> np.ndarray:
+    """The number of each row of at most eight bytes."""
+    out = np.zeros((len(records), 8), np.uint8)
+    out[:, : records.shape[1]] = records
     return out.reshape(-1).view("<u8")
 
 
@@ -248,8 +249,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-SENT_DDL = "bucket int, block long, n int, keys binary, docs binary"
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("base", pa.int64())])
+SENT_DDL = "bucket int, block long, n int, keys binary, base long"
+#: Bytes of keys in an Arrow batch that is sent.
+SENT_BYTES = 1 << 20
 MASK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("mask", pa.binary())])
 MASK_DDL = "block long, bucket int, mask binary"
 
@@ -261,6 +264,38 @@ def _by_bucket(order: np.ndarray, bucket: np.ndarray, buckets: int) -> list[np.n
     return np.split(by, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
 
 
+def _sent(block: int, bucket: np.ndarray, buckets: int, records: np.ndarray, base: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A block's records by bucket, each bucket's in their order; buckets without any have no row."""
+    counts = np.bincount(bucket, minlength=buckets)
+    some = np.nonzero(counts)[0]
+    data = records[np.concatenate(_by_bucket(np.arange(len(bucket)), bucket, buckets))]
+    ends = np.cumsum(counts[some]) * records.shape[1]
+    begin = 0
+    while begin < len(some):
+        low = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, low + SENT_BYTES, side="right")))
+        offsets = np.append(0, ends[begin:end] - low).astype("<i4")
+        keys = pa.Array.from_buffers(pa.binary(), end - begin, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.reshape(-1)[low : ends[end - 1]].tobytes())])
+        own = some[begin:end]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own.astype(np.int32)), pa.array(np.full(len(own), block, np.int64)), pa.array(counts[own].astype(np.int32)), keys, pa.array([base] * len(own), pa.int64())], schema=SENT
+        )
+        begin = end
+
+
+def _records(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The records of rows that were sent, and how many each row has; narrower ones are filled up with zeros."""
+    ns, blobs = table["n"].to_numpy().astype(np.int64), table["keys"].to_pylist()
+    widths = np.array([len(x) for x in blobs]) // ns
+    most = int(widths.max())
+    if (widths == most).all():
+        return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, most), ns
+    out = np.zeros((ns.sum(), most), np.uint8)
+    for end, n, width, blob in zip(np.cumsum(ns).tolist(), ns.tolist(), widths.tolist(), blobs):
+        out[end - n : end, :width] = np.frombuffer(blob, np.uint8).reshape(n, width)
+    return out, ns
+
+
 def _distinct_samples(block: Block, length: int, v: int, cover: tuple[int, ...]):
     """Samples and their hashes; the distinct hashes in order; whether several documents have each."""
     at, h = cover_samples(block, length, v, cover)
@@ -275,24 +310,20 @@ def _distinct_samples(block: Block, length: int, v: int, cover: tuple[int, ...])
 
 def _send_samples(buckets: int, length: int, v: int, cover: tuple[int, ...]):
     def run(batches):
+        spare()
         for row in _rows(batches):
             block = _load(row)
             _, _, values, _ = _distinct_samples(block, length, v, cover)
-            bucket = (values % U(buckets)).astype(np.int64)
-            for b, own in enumerate(_by_bucket(np.arange(len(values)), bucket, buckets)):
-                if len(own):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int32()), pa.array([row["block"]]), pa.array([len(own)], pa.int32()), pa.array([_pack(values[own] >> U(16), 6)]), pa.array([None], pa.binary())],
-                        schema=SENT,
-                    )
+            yield from _sent(row["block"], (values % U(buckets)).astype(np.int64), buckets, _bytes(values >> U(16), 6))
 
     return run
 
 
 def _tied_samples(table: pa.Table) -> pa.Table:
     """Of one bucket: which hashes are also in another block."""
-    ns, blobs = table["n"].to_pylist(), table["keys"].to_pylist()
-    keys = np.concatenate([_unpack(b, n, 6) for b, n in zip(blobs, ns)])
+    spare()
+    records, ns = _records(table)
+    keys = _number(records)
     order, new = _group(keys)
     tied = ~new
     tied[:-1] |= ~new[1:]
@@ -301,9 +332,12 @@ def _tied_samples(table: pa.Table) -> pa.Table:
     return _masks(table, ns, flag)
 
 
-def _masks(table: pa.Table, ns: list[int], flag: np.ndarray) -> pa.Table:
-    masks = [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum(ns)[:-1])]
-    return pa.table([table["block"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(masks, pa.binary())], schema=MASK)
+def _masks(table: pa.Table, ns: np.ndarray, flag: np.ndarray) -> pa.Table:
+    """Flags by block and bucket; where none is set there is no row."""
+    ends = np.cumsum(ns)
+    some = np.nonzero(np.logical_or.reduceat(flag, ends - ns))[0]
+    masks = [np.packbits(flag[e - n : e]).tobytes() for e, n in zip(ends[some].tolist(), ns[some].tolist())]
+    return pa.table([table["block"].combine_chunks().take(pa.array(some)), table["bucket"].combine_chunks().take(pa.array(some)), pa.array(masks, pa.binary())], schema=MASK)
 
 
 REGIONS_DDL = "block long, docs binary, lens binary, data binary, region_doc binary, region_start binary, leads binary, ranks binary"
@@ -316,6 +350,7 @@ def _cut_regions(buckets: int, length: int, v: int, cover: tuple[int, ...]):
     def run(key, blocks: pa.Table, masks: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return REGIONS.empty_table()
+        spare()
         block = _load({n: blocks[n][0].as_py() for n in ("docs", "lens", "data")})
         at, back, values, tied = _distinct_samples(block, length, v, cover)
         bucket = (values % U(buckets)).astype(np.int64)
@@ -323,15 +358,15 @@ def _cut_regions(buckets: int, length: int, v: int, cover: tuple[int, ...]):
         for b, mask in zip(masks["bucket"].to_pylist(), masks["mask"].to_pylist()):
             own = split[b]
             tied[own] |= np.unpackbits(np.frombuffer(mask, np.uint8))[: len(own)].astype(bool)
-        hit = at[tied[back]]
+        hit = np.sort(at[tied[back]])
         doc = block.of(hit)
         # a suffix may be tied if a tied sample lies within the v bytes from its start on
-        step = np.bincount(np.maximum(hit - (v - 1), block.starts[doc]), minlength=block.n + 1) - np.bincount(hit + 1, minlength=block.n + 1)
-        may = np.cumsum(step[:-1]) > 0
-        for s, e in zip(block.starts.tolist(), block.ends.tolist()):
-            may[max(s, e - length + 1) : e] = False
-        edge = np.diff(np.concatenate([[0], may.view(np.int8), [0]]))
-        begin, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0] + (length - 1)
+        low, high = np.maximum(hit - (v - 1), block.starts[doc]), np.minimum(hit + 1, block.ends[doc] - (length - 1))
+        low, high = low[low < high], high[low < high]
+        fresh = np.ones(len(low), bool)
+        fresh[1:] = low[1:] > high[:-1]
+        first = np.nonzero(fresh)[0]
+        begin, end = low[first], high[np.append(first[1:], len(low))[: len(first)] - 1] + (length - 1)
         if not len(begin):
             return REGIONS.empty_table()
         # runs of one document whose texts touch or overlap are one region
@@ -344,7 +379,8 @@ def _cut_regions(buckets: int, length: int, v: int, cover: tuple[int, ...]):
         keep = np.unique(doc)
         start = begin - block.starts[doc]
         region = Block(block.docs[doc], end - begin, text)
-        leads = np.bincount(_words(region.data, ">u2")[_suffixes(region, length)] >> 4, minlength=4096)
+        lead = _leads(region)[_suffixes(region, length)]
+        leads = sum(np.bincount(lead[k : k + SLICE], minlength=4096) for k in range(0, len(lead), SLICE))
         return pa.table(
             [
                 pa.array([blocks["block"][0].as_py()]), pa.array([block.docs[keep].astype("<i8").tobytes()]), pa.array([region.lens.astype("<i8").tobytes()]),
@@ -357,11 +393,21 @@ def _cut_regions(buckets: int, length: int, v: int, cover: tuple[int, ...]):
     return run
 
 
-def _suffixes(region: Block, length: int) -> np.ndarray:
-    """Positions with `length` bytes left in their region."""
+#: Positions that are counted at a time.
+SLICE = 1 << 18
+
+
+def _leads(region: Block) -> np.ndarray:
+    """The leading bits of the suffix at each position."""
+    return _words(region.data, ">u2")[: region.n] >> 4
+
+
+def _suffixes(region: Block, length: int, low: int = 0, high: int = 4096) -> np.ndarray:
+    """Positions with `length` bytes left in their region, and a lead from `low` to below `high`."""
     if not region.n:
         return np.zeros(0, np.int64)
-    ok = np.ones(region.n, bool)
+    lead = _leads(region)
+    ok = (lead >= low) & (lead < high)
     for s, e in zip(region.starts.tolist(), region.ends.tolist()):
         ok[max(s, e - length + 1) : e] = False
     return np.nonzero(ok)[0]
@@ -374,9 +420,7 @@ def _bucket_strings(row: dict, low: int, high: int, length: int, v: int, cover:
     of documents among the block's ids: by place, and the smallest by string.
     """
     region = Block(np.frombuffer(row["region_doc"], "<i4").astype(np.int64), np.frombuffer(row["lens"], "<i8"), row["data"])
-    at = _suffixes(region, length)
-    lead = _words(region.data, ">u2")[at] >> 4
-    at = at[(lead >= low) & (lead < high)]
+    at = _suffixes(region, length, low, high)
     order, new = sorted_strings(region, at, length, CoverRanks(v, cover, np.frombuffer(row["ranks"], np.uint32)))
     at = at[order]
     names = np.frombuffer(row["docs"], "<i8")
@@ -391,32 +435,27 @@ def _bucket_strings(row: dict, low: int, high: int, length: int, v: int, cover:
 
 def _send_strings(buckets: int, low: int, high: int, length: int, v: int, cover: tuple[int, ...]):
     def run(batches):
+        spare()
         for row in _rows(batches):
             region, at, number, first, ids, least = _bucket_strings(row, low, high, length, v, cover)
             if not len(first):
                 continue
+            # a document is told by its distance from the block's smallest, in as many bytes as the block needs
+            ordered = np.sort(np.frombuffer(row["docs"], "<i8"))
+            far = ordered.view(U) - ordered[:1].view(U)
             a, b = _digests(region.data, first, length, 2)
-            bucket = (a % U(buckets)).astype(np.int64)
-            ordered = np.sort(np.frombuffer(row["docs"], "<i8")).tobytes()
-            for k, own in enumerate(_by_bucket(np.arange(len(first)), bucket, buckets)):
-                if len(own):
-                    blob = _pack(a[own], 8) + _pack(b[own], 4) + least[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([row["block"]]), pa.array([len(own)], pa.int32()), pa.array([blob]), pa.array([ordered])], schema=SENT
-                    )
+            records = np.hstack([_bytes(a, 8), _bytes(b, 4), _bytes(far[least], (int(far[-1]).bit_length() + 7) // 8)])
+            yield from _sent(row["block"], (a % U(buckets)).astype(np.int64), buckets, records, int(ordered[0]))
 
     return run
 
 
 def _tied_strings(table: pa.Table) -> pa.Table:
     """Of one range of digests: which blocks' strings start in a document smaller than the block's own."""
-    ns = table["n"].to_pylist()
-    a, b, ids = [], [], []
-    for n, blob, docs in zip(ns, table["keys"].to_pylist(), table["docs"].to_pylist()):
-        a.append(_unpack(blob[: 8 * n], n, 8))
-        b.append(_unpack(blob[8 * n : 12 * n], n, 4))
-        ids.append(np.frombuffer(docs, "<i8")[_unpack(blob[12 * n :], n, 4).astype(np.int64)])
-    a, b, ids = np.concatenate(a), np.concatenate(b), np.concatenate(ids)
+    spare()
+    records, ns = _records(table)
+    a, b = _number(records[:, :8]), _number(records[:, 8:12])
+    ids = (_number(records[:, 12:]) + np.repeat(table["base"].to_numpy().view(U), ns)).view(np.int64)
     order, new = _group(a)
     other = b[order]
     if (~new[1:] & (other[1:] != other[:-1])).any():  # 64 bits agree and 32 more don't
@@ -436,6 +475,7 @@ def _find_spans(buckets: int, bounds: list[int], length: int, v: int, cover: tup
     def run(key, regions: pa.Table, masks: pa.Table) -> pa.Table:
         if not regions.num_rows:
             return SPANS.empty_table()
+        spare()
         row = {n: regions[n][0].as_py() for n in regions.schema.names}
         got = {(p, b): m for p, b, m in zip(masks["pass"].to_pylist(), masks["bucket"].to_pylist(), masks["mask"].to_pylist())}
         hit, region = [], None
@@ -477,10 +517,16 @@ def _balanced(counts: np.ndarray, passes: int) -> list[int]:
 def removed_spans(texts: DataFrame, length: int = LENGTH, v: int = V, cover: tuple[int, ...] = COVER, block_bytes: int = BLOCK_BYTES, passes: int = PASSES) -> Stored | None:
     """Runs of bytes to remove from rows (doc_id, data): doc_id, starts, ends.  doc_id is unique.
 
-    Buckets grow with the input, so that what one task sorts stays bounded.
+    Buckets grow with the input, so that what one task sorts stays bounded; a block is sent to them
+    with nothing but its strings' digests and documents, so that what one task reads stays bounded too.
     """
+    with narrow_batches(texts.sparkSession, 4 << 20, 16):
+        return _removed_spans(texts, length, v, cover, block_bytes, passes)
+
+
+def _removed_spans(texts: DataFrame, length: int, v: int, cover: tuple[int, ...], block_bytes: int, passes: int) -> Stored | None:
     spark = texts.sparkSession
-    blocks = Stored(texts.filter(F.length("data") >= length).select("doc_id", "data").mapInArrow(_block_rows(block_bytes), BLOCKS_DDL), "suffix-blocks")
+    blocks = Stored(texts.filter(F.length("data") >= length).select("doc_id", "data").mapInArrow(_block_rows(block_bytes), BLOCKS_DDL), "suffix-blocks", large_rows=True)
     total = blocks.read().agg(F.sum(F.length("data"))).first()[0] or 0
     if not total:
         return None
@@ -488,9 +534,8 @@ def removed_spans(texts: DataFrame, length: int = LENGTH, v: int = V, cover: tup
     sent = blocks.read().select("block", "docs", "lens", "data").mapInArrow(_send_samples(buckets, length, v, cover), SENT_DDL)
     masks = Stored(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_tied_samples, MASK_DDL), "suffix-ties")
     release(spark)
-    regions = Stored(
-        blocks.read().groupBy("block").cogroup(masks.read().groupBy("block")).applyInArrow(_cut_regions(buckets, length, v, cover), REGIONS_DDL), "suffix-regions"
-    )
+    cut = blocks.read().groupBy("block").cogroup(masks.read().groupBy("block")).applyInArrow(_cut_regions(buckets, length, v, cover), REGIONS_DDL)
+    regions = Stored(cut, "suffix-regions", large_rows=True)
     blocks.drop()
     masks.drop()
     release(spark)
