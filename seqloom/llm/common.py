@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 
@@ -36,8 +37,15 @@ def narrow_batches(spark: SparkSession, size: int, rows: int):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: By module, what a worker's later tasks may use again.
+WORKER_CACHES = {"seqloom.llm.packing": "_tokenizers", "seqloom.llm.pieces": "_models"}
+
+
 def spare() -> None:
-    """In a worker: give unused memory back to the system."""
+    """In a worker: drop what earlier operators keep in it, and give unused memory back to the system."""
+    for module, name in WORKER_CACHES.items():
+        if module in sys.modules:
+            getattr(sys.modules[module], name).clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
         ctypes.CDLL(None).malloc_trim(0)

@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from seqloom.llm import packing
 from seqloom.llm import suffixes as S
-from seqloom.llm.common import narrow_batches
+from seqloom.llm.common import narrow_batches, spare
 
 
 def brute(data, length=50):
@@ -140,3 +141,10 @@ def test_batches_of_blocks_are_small(spark):
     with narrow_batches(spark, 4 << 20, 16):
         assert max(r.n for r in blocks.mapInArrow(sizes, "n long").collect()) <= 6
     assert before == [spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")]
+
+
+def test_workers_drop_what_packing_keeps():
+    """The words that packing keeps in a worker don't add to what the suffix array needs there."""
+    packing._tokenizers["x"] = object()
+    spare()
+    assert not packing._tokenizers
