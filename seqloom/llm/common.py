@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +47,31 @@ def spare() -> None:
     for module, name in WORKER_CACHES.items():
         if module in sys.modules:
             getattr(sys.modules[module], name).clear()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _trim_jvm(spark: SparkSession) -> str:
+    """Have the driver's JVM give memory that its native code has freed back to the system; what it answers."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    with contextlib.suppress(Py4JError):  # not every JVM has the command
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # the server's own class isn't open to calls, its interface is
+        kinds, args = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.java.lang.Class.forName(kind)
+        for k, arg in enumerate((name, "systemTrimNativeHeap", array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0))):
+            args[k] = arg
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        return str(invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args))
+    return ""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares.  One is made only where the session names none and runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -88,9 +109,11 @@ class Stored:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps whose results are stored."""
+    """Let Spark delete the shuffle files of finished steps whose results are stored, and give the driver's unused memory back."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _trim()
+    _trim_jvm(spark)
 
 
 def as_text(col: str = "text"):

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, as_text, tune
+from .common import Stored, as_text, release, tune
 
 #: Labelled rows of either class that are learnt from at most; of each, the whole text.
 SAMPLE_ROWS = 6000
@@ -377,6 +377,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, choices: tuple[Setting
     with ThreadPoolExecutor(len(choices)) as side_by_side:
         models = list(side_by_side.map(lambda how: _fit(sample.read(), how), choices))
     sample.drop()
+    release(docs.sparkSession)
     return min(models, key=lambda m: m[0])[1]
 
 

@@ -22,8 +22,10 @@ from .components import EDGE, EDGE_DDL, connected_components
 from .shingles import mix, shingle_sets
 
 U = np.uint64
-#: Counters of the sketch that orders shingles: 8 MB, whatever the input size.
+#: Counters of the sketch that orders shingles: 8 MB in a task that counts, 2 MB once added up, whatever the input size.
 SKETCH = 1 << 21
+#: Levels of a doubled count; a counter leaves the tasks as its level, in a byte.
+LEVELS = 7
 #: Lists up to this length give all their pairs of fitting size; longer ones a chain in size order.
 SHORT_LIST = 32
 #: Shingles of the sets that one verifying task holds, and of those whose keys share the buckets (a fifth are keys).
@@ -36,6 +38,24 @@ def least_common(n, num: int = NUM, den: int = DEN):
     return -(-n * num // den)
 
 
+def count_levels(counts: np.ndarray) -> np.ndarray:
+    """Counts below 2**32 as levels in the same order; counts up to 13 have each their own, larger ones share one with those 10 % off."""
+    return np.round(LEVELS * np.log2(counts + 1.0)).astype(np.uint8)
+
+
+def list_length(cells: np.ndarray, share: float) -> float:
+    """How far the counters of the rarest `share` of all shingles lie above the median counter, on average.
+
+    cells: the number of counters at each level.
+    """
+    worth = np.exp2(np.arange(len(cells)) / LEVELS) - 1
+    mass = cells * worth
+    left = share * mass.sum() - (np.cumsum(mass) - mass)
+    taken = np.clip(np.divide(left, worth, out=cells.astype(float), where=worth > 0), 0, cells)
+    median = worth[np.searchsorted(np.cumsum(cells), cells.sum() / 2)]
+    return float((taken * np.maximum(worth - median, 0)).sum() / max(1, taken.sum()))
+
+
 def choose_boundary(sizes: dict[int, int], list_cost: float, largest: int = 400, num: int = NUM, den: int = DEN) -> int:
     """Largest size of a light set: the one that makes keys and list scans cheapest in all.
 
@@ -123,14 +143,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by chunk of the rows of one task."""
+    """Levels of the sums by chunk of the rows of one task."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             x = np.frombuffer(blob, "<u4").astype(np.int64)
             total[c] = total[c] + x if c in total else x
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"]
+        [pa.array(list(total), pa.int32()), pa.array([count_levels(np.minimum(x, (1 << 32) - 1)).tobytes() for x in total.values()], pa.binary())], names=["chunk", "levels"]
     )
 
 
@@ -389,17 +409,16 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     base, back = unique_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")), ["text"])
     seen = Stored(base.mapInArrow(_measure, SIZES_DDL), "jaccard-sizes")
     rows = seen.read().filter("doc_id is not null").select("doc_id", "n", "fp1", "fp2", "bits")
-    # the counts of tasks are added in two steps, in parallel by chunk
-    added = seen.read().filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect()
-    counts = np.zeros(SKETCH, np.uint32)
-    for r in added:
-        size = SKETCH // CHUNKS
-        counts[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(r.counts, "<u4")
+    # the counts of tasks are added in two steps, in parallel by chunk; the driver gets a byte a counter
+    added = seen.read().filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, levels binary").toArrow()
+    levels, cells, size = np.zeros(SKETCH, np.uint8), np.zeros(256, np.int64), SKETCH // CHUNKS
+    for c, blob in zip(added["chunk"].to_pylist(), added["levels"]):
+        levels[c * size : (c + 1) * size] = np.frombuffer(blob.as_buffer(), np.uint8)
+    for k in range(0, SKETCH, size):
+        cells += np.bincount(levels[k : k + size], minlength=256)
     # sets by size: only sizes that can be light count one by one
     hist = rows.filter("n > 0").groupBy(F.least("n", F.lit(401)).alias("n")).agg(F.count("*").alias("c"), F.sum("n").alias("t")).collect()
-    mass = np.sort(counts)
-    rare = mass[: max(1, int(np.searchsorted(np.cumsum(mass, dtype=np.float64), (1 - num / den) * mass.sum(dtype=np.float64))))]
-    list_cost = 1 + float(np.maximum(rare - np.median(mass), 0).mean())
+    list_cost = 1 + list_length(cells, 1 - num / den)
     boundary = choose_boundary({r.n: r.c for r in hist}, list_cost, num=num, den=den)
     total = sum(r.t for r in hist)
 
@@ -407,9 +426,10 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     first = Stored(rows.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits"), F.count("*").alias("copies")), "jaccard-reps")
     buckets = max(32, -(-total // BUCKET_SHINGLES))
     names = spread_names(spark, buckets)
-    sketch = spark.sparkContext.broadcast(counts)
+    sketch = spark.sparkContext.broadcast(levels)
     posts = base.select("text").mapInArrow(_post(sketch, boundary, names, num, den), POSTS_DDL)
     pairs = Stored(posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_candidates(num, den), EDGE_DDL + ", chain boolean"), "jaccard-pairs")
+    sketch.destroy()
     release(spark)
     # of pairs from short lists only those go on whose bits leave a link possible
     side = first.read().groupBy("fp1").agg(F.min("n").alias("n"), F.any_value("bits").alias("bits"), F.count("*").alias("same")).filter("same = 1")
@@ -425,11 +445,11 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
 
     # every set of a class of candidates is compared with the others; large classes in pairs of blocks
     blocks = near.read().groupBy("component").agg(F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("blocks")).filter("blocks > 1")
-    words = near.read().select("doc_id").mapInArrow(_mark, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect()  # FILTER_BITS / 64 at most
+    words = near.read().select("doc_id").mapInArrow(_mark, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # FILTER_BITS / 64 at most
     marks = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words:
-        marks[r["at"]] = r.word
-    shipped = base.mapInArrow(_ship(spark.sparkContext.broadcast(marks)), "doc_id long, shingles binary").join(near.read().select("doc_id", "component", "copies"), "doc_id")
+    marks[words["at"].to_numpy()] = words["word"].to_numpy()
+    filled = spark.sparkContext.broadcast(marks)
+    shipped = base.mapInArrow(_ship(filled), "doc_id long, shingles binary").join(near.read().select("doc_id", "component", "copies"), "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
@@ -440,6 +460,7 @@ def similar_groups(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
         .withColumn("grp", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("component"), F.lit(buckets * 4)).cast("string")).otherwise(F.col("task")))
     )
     links = Stored(dealt.select("grp", "task", "doc_id", "shingles", "copies", "own", "inner").groupBy("grp").applyInArrow(_verify(num, den), LINKS_DDL), "jaccard-links")
+    filled.destroy()
     release(spark)
     classes = connected_components(links.read().filter("a is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
     partners = links.read().filter("id is not null").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))

@@ -2,12 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
 import pytest
 
-from seqloom.llm import components, jaccard
+from seqloom.llm import common, components, jaccard
 from seqloom.llm.shingles import shingle_sets
 
 
@@ -88,6 +89,35 @@ def test_boundary_follows_cost():
     assert jaccard.choose_boundary(sizes, 1.0) <= jaccard.choose_boundary(sizes, 5.0) <= jaccard.choose_boundary(sizes, 50.0)
 
 
+def test_levels_keep_the_order_and_cost():
+    counts = np.sort(np.random.default_rng(2).zipf(1.4, 100_000).clip(0, (1 << 32) - 1) - 1)
+    levels = jaccard.count_levels(counts)
+    assert (np.diff(levels.astype(int)) >= 0).all() and len(np.unique(jaccard.count_levels(np.arange(14)))) == 14
+    small = np.minimum(counts, 13)
+    rare = small[: np.searchsorted(np.cumsum(small), 0.2 * small.sum())]
+    want = np.maximum(rare - np.median(small), 0).mean()
+    assert jaccard.list_length(np.bincount(jaccard.count_levels(small), minlength=256), 0.2) == pytest.approx(want, rel=0.1, abs=0.05)
+    assert jaccard.list_length(np.eye(256, dtype=np.int64)[0] * 9, 0.2) == 0
+
+
+def test_driver_holds_little(spark):
+    """The sketch reaches the driver as a byte a counter, and the filter not as rows."""
+    docs = spark.createDataFrame([(2 * i + j, " ".join(f"w{i}x{k}" for k in range(30 + j))) for i in range(3000) for j in (0, 1)], "doc_id long, text string").repartition(4)
+    tracemalloc.start()
+    try:
+        found = jaccard.similar_groups(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 << 20
+    assert found.filter("component_id = doc_id").count() == 3000
+
+
+def test_release_gives_memory_back(spark):
+    assert "rim" in common._trim_jvm(spark)
+    common.release(spark)
+
+
 @pytest.mark.parametrize("short,task", [(32, 4_000_000), (2, 500)])
 def test_groups(spark, monkeypatch, short, task):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short)
