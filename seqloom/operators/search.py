@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.monoids import add
 from ..plans.order import IDX, named_order, scan, sort_columns, with_index
-from .transform import with_table
+from ..plans.stored import stored
 
 
 def _bound(source: DataFrame, queries: DataFrame, order, upper: bool, block: int) -> DataFrame:
@@ -38,20 +38,19 @@ def upper_bound(source: DataFrame, queries: DataFrame, order: str | list[str], b
 def find_first_of(source: DataFrame, needles: DataFrame, key: str | list[str], same: Callable[[Column, Column], Column] | None = None, at_once: int = 100_000) -> DataFrame:
     """First position of source that equals any needle, or null.
 
-    Equality is a semi join.  With another test every row meets every needle: needles are sent to the
-    tasks `at_once` at a time, and only rows before the best position so far are looked at again.
-    Several columns reach the test as structs.
+    Equality is a semi join.  Another test is asked once for each two different keys, in one job: of the
+    source each key's first position counts, and the different needles go in arrays of about `at_once`,
+    each beside every key of the source.  Several columns reach the test as structs.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if same is None:
         hit = source.join(needles.select(*keys).distinct(), keys, "left_semi")
         return hit.agg(F.min(IDX).alias("index"))
-    best, value = None, F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-    last = needles.agg(F.max(IDX)).first()[0]
-    for begin in range(0, -1 if last is None else last + 1, at_once):
-        some = needles.filter((F.col(IDX) >= begin) & (F.col(IDX) < begin + at_once)).select(IDX, *keys)
-        rows = source if best is None else source.filter(F.col(IDX) < best)
-        test = F.exists("__needles", lambda n: same(value, n[keys[0]] if len(keys) == 1 else F.struct(*[n[k] for k in keys])))
-        found = with_table(rows, some, "__needles", at_once).filter(test).agg(F.min(IDX)).first()[0]
-        best = best if found is None else found
-    return source.sparkSession.createDataFrame([(best,)], "index long")
+    value = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    first = source.groupBy(*keys).agg(F.min(IDX).alias(IDX))
+    each = stored(needles.select(*keys).distinct(), "needles")
+    groups = -(-each.count() // at_once) or 1
+    # dealt by hash; a group holds `at_once` needles on average
+    packed = each.groupBy(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("__g")).agg(F.collect_list(F.struct(*keys)).alias("__needles"))
+    test = F.exists("__needles", lambda n: same(value, n[keys[0]] if len(keys) == 1 else F.struct(*[n[k] for k in keys])))
+    return first.crossJoin(packed).filter(test).agg(F.min(IDX).alias("index"))

@@ -224,3 +224,15 @@ def test_random_numbers(spark):
     assert abs(big.m - 3) < 0.06 and abs(big.s - 2) < 0.06
     with pytest.raises(InvalidArgumentError):
         pcg.uniform_u32(F.col("id"), 3, 2, seed)
+
+
+def test_find_first_of_same_asks_each_key_once(spark):
+    """Repeated keys don't add jobs or tests, and nulls reach the test."""
+    vals = seq(spark, [None, 7, 8, 7, 9], "v long")
+    spark.sparkContext.setJobGroup("find-first", "")
+    got = one(op.find_first_of(vals, seq(spark, [10, 12, 10, 12, 6] * 40, "v long"), "v", lambda a, b: F.abs(a - b) < 2, at_once=1))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("find-first"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == 1 and jobs < 30
+    assert one(op.find_first_of(vals, seq(spark, [None], "v long"), "v", lambda a, b: a.eqNullSafe(b))) == 0
+    assert one(op.find_first_of(vals, seq(spark, [], "v long"), "v", lambda a, b: a == b)) is None
