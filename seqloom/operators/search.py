@@ -53,4 +53,5 @@ def find_first_of(source: DataFrame, needles: DataFrame, key: str | list[str], s
     # dealt by hash; a group holds `at_once` needles on average
     packed = each.groupBy(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("__g")).agg(F.collect_list(F.struct(*keys)).alias("__needles"))
     test = F.exists("__needles", lambda n: same(value, n[keys[0]] if len(keys) == 1 else F.struct(*[n[k] for k in keys])))
-    return first.crossJoin(packed).filter(test).agg(F.min(IDX).alias("index"))
+    # not a filter: as the join's condition it would be moved to where only one side is known
+    return first.crossJoin(packed).agg(F.min(F.when(test, F.col(IDX))).alias("index"))
