@@ -20,6 +20,13 @@ def exclusive_scan(df: DataFrame, value: Column, op: Monoid, init, name: str = "
     return scan(df, name, value, op, inclusive=False, init=init, block=block)
 
 
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running results of an array's values."""
+    first = F.slice(values, 1, 1)
+    rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.aggregate(rest, first, lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+
 def scan_with(df: DataFrame, value: Column, op: Callable[[Column, Column], Column], name: str = "scan", block: int = 256, levels: int = 4) -> DataFrame:
     """inclusive_scan with any associative operation on two columns.
 
@@ -28,16 +35,11 @@ def scan_with(df: DataFrame, value: Column, op: Callable[[Column, Column], Colum
     n / block ** levels.
     """
 
-    def running(values: Column) -> Column:
-        first = F.slice(values, 1, 1)
-        rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
-        return F.aggregate(rest, first, lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
-
     def prefixes(part: DataFrame, level: int) -> DataFrame:
         """(k, v) in order of k, dense -> (k, v, r)."""
         grp = F.floor(F.col("k") / block) if level else F.lit(0).cast("long")
         values = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda r: r["v"])
-        blocks = part.groupBy(grp.alias("b")).agg(values.alias("vs")).select("b", running(F.col("vs")).alias("rs"))
+        blocks = part.groupBy(grp.alias("b")).agg(values.alias("vs")).select("b", running(F.col("vs"), op).alias("rs"))
         if not level:
             return blocks.select(F.posexplode("rs").alias("k", "r")).select(F.col("k").cast("long"), "r")
         totals = blocks.select(F.col("b").alias("k"), F.element_at("rs", -1).alias("v"))
